@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: The characters of the Unicode property White_Space and the split pattern of the tokenizer.
-_WS = r"\u0009-\u000D \u0085   -     　"
+_WS = r"\u0009-\u000D \u0085\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
 WORD_PATTERN = rf"'(?:[sdmt]|ll|ve|re)| ?\p{{L}}+| ?\p{{N}}+| ?[^{_WS}\p{{L}}\p{{N}}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+"
 #: Most distinct words that a Python worker remembers from one block to the next.
 REMEMBERED = 400_000
