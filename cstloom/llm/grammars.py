@@ -294,12 +294,15 @@ def _follow(tree) -> tuple[bool, set[str], set[str], set[tuple[str, str]], bool]
 
 @lru_cache(16)
 def permissible_pairs(language: str) -> frozenset[str]:
-    """All pairs of symbols that the productions of a language put side by side; a dot stands for any symbol."""
+    """All pairs of symbols that the productions of a language put side by side; an asterisk stands for any symbol."""
     import re._parser as parser
 
     out: set[str] = set()
     g = grammar(language)
-    for rules in g.sources.values():
-        for rule in rules:
-            out |= {(a or "*") + (b or "*") for a, b in _follow(parser.parse(rule))[3]}
+    for context, rules in g.sources.items():
+        each = [_follow(parser.parse(rule)) for rule in rules]
+        pairs = set().union(*(x[3] for x in each))
+        if context == "block" or context == "top" and language != "python":  # statements follow one another
+            pairs |= {(a, b) for x in each for a in x[2] for y in each for b in y[1]}
+        out |= {(a or "*") + (b or "*") for a, b in pairs}
     return frozenset(out)
