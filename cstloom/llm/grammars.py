@@ -84,12 +84,12 @@ def operator(text: str, before: str, language: str) -> str:
         return "u"
     if not ends and text in _PREFIX_OR_INFIX:
         return "u"
-    return "o"
+    return "k" if language == "c" and text in ("*", "**") else "o"
 
 
-def _expression(atoms: str, suffix: str, cast: bool = False) -> str:
+def _expression(atoms: str, suffix: str, cast: bool = False, between: str = "o") -> str:
     unit = rf"(?:(?:u|p(?=[ndspuF]))*(?:{atoms})(?:{suffix})*)" if cast else rf"(?:u*(?:{atoms})(?:{suffix})*)"
-    infix = rf"{unit}(?:o{unit})*"
+    infix = rf"{unit}(?:{between}{unit})*"
     whole = rf"{infix}(?:\?{infix}:{infix})*"
     return rf"(?:{whole}(?:a{whole})*)"
 
@@ -165,10 +165,10 @@ def _java_like(language: str) -> Grammar:
 
 def _c_like(language: str) -> Grammar:
     plus = language == "cpp"
-    e = _expression(r"n|d|s+|p|c|bp?c" if plus else r"n|d|s+|p|c", r"\.(?:u?n|b)|p|b|x|c" if plus else r"\.n|p|b|x", cast=True)
+    e = _expression(r"n|d|s+|p|c|bp?c" if plus else r"n|d|s+|p|c", r"\.(?:u?n|b)|p|b|x|c" if plus else r"\.n|p|b|x", cast=True, between="o" if plus else "[ok]")
     many = rf"{e}(?:,{e})*"
     kind = rf"M*(?:C?n(?:\.n)*)(?:M|n(?:\.n)*)*"
-    star = r"(?:[ou]|M)*" if plus else r"(?:[ou]M?)*"
+    star = r"(?:[ou]|M)*" if plus else r"(?:[ku]M?)*"  # in C an infix star is a class of its own, as & makes no parameter
     value = rf"(?:a{e}|c|p)?" if plus else rf"(?:a{e})?"
     declare = rf"{kind}{star}(?:n(?:\.n)*|p)(?:b|p)*(?::d)?{value}(?:,{star}n(?:b)*{value})*"
     simple = [r"c", r";", rf"{declare};", rf"T(?:{e})?;", r"Bn?;", rf"{many};"]

@@ -37,6 +37,8 @@ from cstloom.llm.common import EXTENSIONS, language_of
 from cstloom.session import reliable
 
 _OPEN, _CLOSE = {"(": "p", "[": "b", "{": "c"}, {")": "(", "]": "[", "}": "{"}
+#: Python numbers that begin with a zero or end in letters that belong to no number.
+_BAD_NUMBER = re.compile(r"0[\d_]*[1-9][\d_]*|(?!0[xX][\da-fA-F_]+$|0[oO][0-7_]+$|0[bB][01_]+$|[\d_]+(?:[eE]\d+)?[jJ]?$)\d+[A-Za-z_]\w*")
 _ASI_STARTS = set("ndsFCDTBIRWOSYAMmtfu")
 #: Errors of a scan that speak of syntax.
 SYNTAX_ERROR = r"(?i)syntax|unexpected|expected|unmatched|unterminated|never closed|indent|ERROR node|MISSING|stray|unclosed|unbalanced|invalid (?:token|character|decimal)|parse error"
@@ -186,9 +188,12 @@ def _lexed_python(text: str) -> tuple[set[str], str]:
         if kind == "n":
             c = keywords.get(word, "n")
         elif kind in "sd":
-            c = "!" if kind == "d" and re.fullmatch(r"0\d*[1-9]\d*|\d+[g-zG-IK-Z]\w*", word) and not re.fullmatch(r"0[xXoObB]\w+|\d+[jJeE]?\d*", word) else kind
+            c = "!" if kind == "d" and _BAD_NUMBER.fullmatch(word) else kind
         elif kind == "o":
             c = "o" if word == "!=" else "!" if word in ("++", "--", "&&", "||", "!", "===", "!==", "=>", "::", "?", "#", "??", "?.", "$") and word not in ("--",) else grammars.operator(word, before, "python")
+            if word == "::":
+                stack[-1].append(":")
+                c = ":"
             if word == "--" or word == "++":
                 c = "o" if before in "ndspbc" and before else "u"
         else:
