@@ -27,6 +27,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
+from cstloom.session import spread
+
 NODE_SCHEMA = (
     "file_id bigint, pre bigint, post bigint, last bigint, parent_pre bigint, depth int, ord int, type string, text string, "
     "start_byte bigint, end_byte bigint, start_row bigint, start_col bigint, end_row bigint, end_col bigint, is_named boolean"
@@ -185,7 +187,7 @@ def valid_records(records: DataFrame, extra: Column | None = None) -> DataFrame:
     most one of them per input partition is shuffled.
     """
     few = records.select("file_id", "cst_json", "written_at").filter(F.col("file_id").isNotNull() & F.col("cst_json").isNotNull())
-    ok = few.filter(_readable("cst_json"))
+    ok = spread(few).filter(_readable("cst_json"))
     return ok.groupBy("file_id").agg(F.max_by("cst_json", F.struct("written_at", "cst_json")).alias("cst_json"))
 
 

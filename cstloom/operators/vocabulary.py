@@ -12,10 +12,11 @@ from pyspark.sql import functions as F
 
 from cstloom.functions import text as tx
 from cstloom.functions.words import STOPWORDS
+from cstloom.session import spread
 
 
 def _cleaned(docs: DataFrame, key: str, text: str) -> DataFrame:
-    return docs.select(F.col(key).alias("doc"), F.lower(tx.clean_text(text)).alias("t")).filter(F.col("t").rlike(r"(?U)\S"))
+    return spread(docs.select(F.col(key).alias("doc"), F.col(text).alias("t"))).select("doc", F.lower(tx.clean_text("t")).alias("t")).filter(F.col("t").rlike(r"(?U)\S"))
 
 
 def term_counts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

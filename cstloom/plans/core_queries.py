@@ -9,7 +9,7 @@ from cstloom.functions import metadata as md
 from cstloom.functions import text as tx
 from cstloom.operators import chunking, code_graph, collection, nested, vectors, vocabulary
 from cstloom.plans.nested_queries import QUERIES as NESTED
-from cstloom.session import read_table
+from cstloom.session import read_table, spread
 from cstloom.sources import files
 
 
@@ -111,7 +111,7 @@ def vocab_containment(spark: SparkSession, d: str) -> DataFrame:
 def keyword_scores_top10(spark: SparkSession, d: str) -> DataFrame:
     docs = documents(spark, d)
     ranked = tx.keywords("text", vocabulary.vocabulary(docs))
-    return docs.select("doc_id", F.posexplode(ranked).alias("at", "k")).select("doc_id", (F.col("at") + 1).alias("rank"), F.col("k.keyword").alias("keyword"), F.round("k.score", 6).alias("score"))
+    return spread(docs.select("doc_id", "text")).select("doc_id", F.posexplode(ranked).alias("at", "k")).select("doc_id", (F.col("at") + 1).alias("rank"), F.col("k.keyword").alias("keyword"), F.round("k.score", 6).alias("score"))
 
 
 def truncate_text(spark: SparkSession, d: str) -> DataFrame:
@@ -198,7 +198,7 @@ def graph_edge_upsert(spark: SparkSession, d: str) -> DataFrame:
 
 def embed_chunks(spark: SparkSession, d: str) -> DataFrame:
     """Chunks as rows of a collection, embedded by the default embedder; rejects left out."""
-    good, _ = collection.split_rejects(collection.prepare(chunks(spark, d).dropDuplicates(["chunk_no"])))
+    good, _ = collection.split_rejects(collection.prepare(spread(chunks(spark, d)).dropDuplicates(["chunk_no"])))
     return good.select("id", F.size("embedding").alias("dimension"), "document", "language", "chunk_type")
 
 

@@ -14,6 +14,7 @@ def local_session(cores: str = "8", memory: str = "8g") -> SparkSession:
         .appName("cstloom")
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.sql.adaptive.enabled", "true")
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "128k")
         .config("spark.driver.memory", memory)
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
@@ -26,6 +27,19 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Tables larger than this are left in the partitions of their files.
+SPREAD_BYTES = 64 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A small table of few files over all cores, before Python stages that cost far more than moving it."""
+    files, cores = len(df.inputFiles()), df.sparkSession.sparkContext.defaultParallelism
+    if not files or 2 * files > cores:
+        return df
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size <= SPREAD_BYTES else df
+
+
 def reliable(df: DataFrame) -> DataFrame:
     """Cut lineage through a reliable checkpoint.
 
