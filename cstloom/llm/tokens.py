@@ -20,6 +20,7 @@ from __future__ import annotations
 import base64
 import importlib
 import os
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,7 +35,7 @@ from cstloom.session import reliable
 _WS = r"\u0009-\u000D \u0085\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
 WORD_PATTERN = rf"'(?:[sdmt]|ll|ve|re)| ?\p{{L}}+| ?\p{{N}}+| ?[^{_WS}\p{{L}}\p{{N}}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+"
 #: Words of a block, unless a single document has more.
-BLOCK_WORDS = 250_000
+BLOCK_WORDS = 600_000
 
 _loaded: dict = {}
 
@@ -69,7 +70,7 @@ def with_words(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(F.col(key), F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), pattern, F.lit(0)).alias("words"))
 
 
-_BLOCK = "block bigint, keys array<{kind}>, ends array<int>, codes array<int>, words array<string>"
+_BLOCK = "block bigint, keys array<{kind}>, ends array<int>, codes binary, words array<string>"
 
 
 def _blocks(words: DataFrame, key: str, kind: str) -> DataFrame:
@@ -85,7 +86,7 @@ def _blocks(words: DataFrame, key: str, kind: str) -> DataFrame:
                 coded = batch.column(1).values.slice(starts[at], starts[end] - starts[at]).dictionary_encode()
                 one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([(part << 32) + number]), one(batch.column(0).slice(at, end - at)), one(pa.array((starts[at + 1 : end + 1] - starts[at]).astype(np.int32))), one(coded.indices), one(coded.dictionary)],
+                    [pa.array([(part << 32) + number]), one(batch.column(0).slice(at, end - at)), one(pa.array((starts[at + 1 : end + 1] - starts[at]).astype(np.int32))), pa.array([zlib.compress(coded.indices.to_numpy(zero_copy_only=False).astype(np.int32).tobytes(), 1)], pa.binary()), one(coded.dictionary)],
                     names=["block", "keys", "ends", "codes", "words"],
                 )
                 at, number = end, number + 1
@@ -117,6 +118,12 @@ def _joined(docs: DataFrame, key: str, text: str, path: str | None, what: str) -
     return blocks.drop("words").join(back.select("block", F.transform("t", lambda x: x["value"]).alias("table")), "block", "left")
 
 
+def _parts(batch: pa.RecordBatch, row: int) -> tuple:
+    """Keys, ends, codes and table of a block."""
+    at = lambda c: batch.column(batch.schema.get_field_index(c))[row]
+    return at("keys").values, at("ends").values, np.frombuffer(zlib.decompress(at("codes").as_py()), np.int32), at("table").values
+
+
 def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None) -> DataFrame:
     """(key, ids): the token ids of every row's text."""
     kind = docs.schema[key].dataType.simpleString()
@@ -124,12 +131,11 @@ def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str |
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in range(batch.num_rows):
-                keys, ends, codes, table = (batch.column(batch.schema.get_field_index(c))[r].values for c in ("keys", "ends", "codes", "table"))
+                keys, ends, codes, table = _parts(batch, r)
                 ends = np.concatenate([[0], ends.to_numpy(zero_copy_only=False)])
                 if table is None:  # no document of the block has a word
                     flat, tokens_ = np.zeros(0, np.int32), np.zeros(1, np.int64)
                 else:
-                    codes = codes.to_numpy(zero_copy_only=False)
                     begin = table.offsets.to_numpy(zero_copy_only=False).astype(np.int64)
                     each = np.diff(begin)[codes]
                     tokens_ = np.concatenate([[0], np.cumsum(each)])
@@ -147,9 +153,9 @@ def token_counts(docs: DataFrame, key: str = "doc_id", text: str = "text", path:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in range(batch.num_rows):
-                keys, ends, codes, table = (batch.column(batch.schema.get_field_index(c))[r].values for c in ("keys", "ends", "codes", "table"))
+                keys, ends, codes, table = _parts(batch, r)
                 ends = np.concatenate([[0], ends.to_numpy(zero_copy_only=False)])
-                sizes = np.zeros(0, np.int64) if table is None else table.to_numpy(zero_copy_only=False).astype(np.int64)[codes.to_numpy(zero_copy_only=False)]
+                sizes = np.zeros(0, np.int64) if table is None else table.to_numpy(zero_copy_only=False).astype(np.int64)[codes]
                 total = np.concatenate([[0], np.cumsum(sizes)])[ends]
                 yield pa.RecordBatch.from_arrays([keys, pa.array(np.diff(total))], names=[key, "n_tokens"])
 
