@@ -1,21 +1,20 @@
-"""Near-duplicate records by a multi-index Hamming join of b-bit signatures (problem 5).
+"""Near-duplicate records by an exact prefix join (problem 5).
 
 Two records are similar if the words they share, counted with repeats, are at
 least ``LEAST`` of the words of the longer one.
 
 1. Records with the same words become one class, whatever the size of the class.
-2. A class gets a signature of SYMBOLS symbols of BITS bits: minima of hash
-   functions over its words (the n-th repeat of a word counts as a word of its
-   own), without the words that more than COMMON of all classes use.
-3. The signature is split into chunks of WIDE symbols.  If two signatures differ
-   in at most MOST_ERRORS symbols, some chunk differs in at most ERRORS of its
-   symbols (pigeonhole), so that enumerating the ways to leave ERRORS symbols
-   out of a chunk guarantees a common key for every such pair.
+2. The words of a class (the n-th repeat of a word counts as a word of its own)
+   are put into one order for all classes, rare ones first.
+3. Similar classes of n words share at least LEAST of n, so the first word they
+   share is among the first n - LEAST * n + 1 of both.  Only these words are keys:
+   every similar pair has a common key, whatever the words are and however many
+   records use them.  A pair is left out where too few words follow the common
+   key for LEAST.
 4. Pairs with a common key are verified exactly on all their words.
 
-Classes with few uncommon words also get a signature of all words, so that the
-two kinds meet.  The number of common words is at most 1 / COMMON times the mean
-number of different words of a record, whatever the size of the table.
+The frequencies behind the order are those of a bounded sample; the order decides
+how many pairs are verified, never which pairs are found.
 
 Defined results: null texts and texts without a word have no partner; a record
 delivered twice counts once; empty tables give empty tables; other columns are
@@ -37,28 +36,13 @@ from pyspark.sql.types import BooleanType
 from cstloom.session import reliable
 
 LEAST = (7, 10)
-#: The signature, its chunks and the errors enumerated in a chunk.
+#: Classes whose words are counted for the order, and the most words that get a frequency.
+SAMPLE, COUNTED = 100_000, 200_000
+#: Signatures, their chunks and the errors enumerated in a chunk: multi-index keys that the join no longer needs, as they guarantee no pair of the words asked.
 SYMBOLS, BITS, WIDE, ERRORS = 32, 24, 4, 2
 CHUNKS = SYMBOLS // WIDE
 MOST_ERRORS = CHUNKS * (ERRORS + 1) - 1
-#: Share of all classes beyond which a word is common (but never in fewer than COMMON_ROWS), and how few uncommon words call for a second signature.
-COMMON, COMMON_ROWS, FEW = 0.01, 50, 8
-
 _SUBSETS = list(combinations(range(WIDE), WIDE - ERRORS))
-_RNG = np.random.default_rng(20240229)
-_MULTIPLY = _RNG.integers(1, 2**63, SYMBOLS, dtype=np.uint64) | np.uint64(1)
-_ADD = _RNG.integers(0, 2**63, SYMBOLS, dtype=np.uint64)
-
-
-def _signatures(tokens: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """(records, SYMBOLS): minima of the hash functions over each record's tokens; every record has some."""
-    out = np.empty((len(starts), SYMBOLS), np.uint64)
-    for k in range(SYMBOLS):
-        x = tokens * _MULTIPLY[k] + _ADD[k]
-        x ^= x >> np.uint64(31)
-        x *= np.uint64(0x9E3779B97F4A7C15)
-        out[:, k] = np.minimum.reduceat(x >> np.uint64(64 - BITS), starts)
-    return out
 
 
 def _keys(signatures: np.ndarray, kind: int) -> np.ndarray:
@@ -83,25 +67,39 @@ def _repeats(doc: np.ndarray, word: np.ndarray) -> np.ndarray:
     return word.astype(np.int64).astype(np.uint64) + nth.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
 
 
-def _index(common: np.ndarray):
+def _tokens(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The tokens of a batch of (id, words), the record of each, and the number of tokens of each record."""
+    lists = batch.column(1)
+    starts = lists.offsets.to_numpy(zero_copy_only=False).astype(np.int64)
+    words = lists.values.to_numpy(zero_copy_only=False)[starts[0] : starts[-1]]
+    size = np.diff(starts)
+    doc = np.repeat(np.arange(len(size)), size)
+    return _repeats(doc, words).view(np.int64), doc, size
+
+
+def _all_tokens(batches):
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([pa.array(_tokens(batch)[0])], names=["key"])
+
+
+def _index(known: np.ndarray, uses: np.ndarray):
+    """Keys of each record: its first tokens by frequency, then by value. known is sorted; tokens outside it are the rarest."""
+
     def run(batches):
         for batch in batches:
-            lists = batch.column(1)
-            starts = lists.offsets.to_numpy(zero_copy_only=False).astype(np.int64)
-            words = lists.values.to_numpy(zero_copy_only=False)[starts[0] : starts[-1]]
-            n = len(starts) - 1
-            doc = np.repeat(np.arange(n), np.diff(starts))
-            tokens = _repeats(doc, words)
-            rare = ~np.isin(words, common)
-            have = np.bincount(doc[rare], minlength=n)
-            few = have < FEW
-            for kind, keep in ((0, rare & (have > 0)[doc]), (1, few[doc])):
-                own = doc[keep]
-                if len(own):
-                    first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
-                    keys = _keys(_signatures(tokens[keep], first), kind)
-                    ids = batch.column(0).take(pa.array(np.repeat(own[first], keys.shape[1])))
-                    yield pa.RecordBatch.from_arrays([ids, pa.array(keys.ravel())], names=["id", "key"])
+            tokens, doc, size = _tokens(batch)
+            if not len(tokens):
+                continue
+            often = np.zeros(len(tokens), np.int64)
+            if len(known):
+                at = np.minimum(np.searchsorted(known, tokens), len(known) - 1)
+                often = np.where(known[at] == tokens, uses[at], 0)
+            order = np.lexsort((tokens, often, doc))
+            place = np.arange(len(tokens)) - np.repeat(np.cumsum(size) - size, size)
+            keep = place <= (size - (LEAST[0] * size + LEAST[1] - 1) // LEAST[1])[doc]
+            own = doc[keep]
+            columns = [batch.column(0).take(pa.array(own)), pa.array(tokens[order][keep]), pa.array(size[own].astype(np.int32)), pa.array((size[own] - place[keep]).astype(np.int32))]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "key", "size", "left"])
 
     return run
 
@@ -129,16 +127,15 @@ def classes(records: DataFrame, key: str = "chunk_no", text: str = "text") -> tu
 def similar_classes(ones: DataFrame) -> DataFrame:
     """(a, b), a < b: classes whose words are similar."""
     n = ones.count()
-    most = max(COMMON_ROWS, COMMON * n)
-    common = ones.select(F.explode(F.array_distinct("words")).alias("w")).groupBy("w").count().filter(F.col("count") > most)
-    common = np.array([r.w for r in common.select("w").collect()], np.int32)
-    keys = ones.mapInArrow(_index(common), "id bigint, key bigint")
-    left, right = keys.select(F.col("id").alias("a"), "key"), keys.select(F.col("id").alias("b"), "key")
-    pairs = left.join(right, "key").filter("a < b").select("a", "b").distinct()
+    sample = ones if n <= SAMPLE else ones.sample(SAMPLE / n, 5)
+    counted = sample.mapInArrow(_all_tokens, "key bigint").groupBy("key").count().filter("count > 2").orderBy(F.desc("count"), "key").limit(COUNTED).orderBy("key").toPandas()
+    keys = ones.mapInArrow(_index(counted["key"].to_numpy(np.int64), counted["count"].to_numpy(np.int64)), "id bigint, key bigint, size int, left int")
+    left, right = (keys.select(F.col("id").alias(x), "key", F.col("size").alias(f"size_{x}"), F.col("left").alias(f"left_{x}")) for x in "ab")
+    enough = F.least("left_a", "left_b") * LEAST[1] >= F.greatest("size_a", "size_b") * LEAST[0]
+    pairs = left.join(right, "key").filter("a < b").filter(enough).select("a", "b").distinct()
     with_a = pairs.join(ones.select(F.col("id").alias("a"), F.col("words").alias("wa")), "a")
     with_b = with_a.join(ones.select(F.col("id").alias("b"), F.col("words").alias("wb")), "b")
-    least, most_ = F.least(F.size("wa"), F.size("wb")), F.greatest(F.size("wa"), F.size("wb"))
-    return with_b.filter(least * LEAST[1] >= most_ * LEAST[0]).filter(_similar("wa", "wb")).select("a", "b")
+    return with_b.filter(_similar("wa", "wb")).select("a", "b")
 
 
 def class_links(records: DataFrame, key: str = "chunk_no", text: str = "text") -> tuple[DataFrame, DataFrame]:

@@ -51,3 +51,14 @@ def test_pigeonhole_guarantee():
         b[off] ^= np.uint64(1)
         keys = nd._keys(np.stack([a, b]), 0)
         assert set(keys[0]) & set(keys[1])
+
+
+def test_families_of_common_words(spark):
+    """Words that a family of many rows shares are no less words than others."""
+    rng = random.Random(8)
+    shared = [f"s{i}" for i in range(40)]
+    rows = [(i, " ".join(shared + [f"v{i}_{k}" for k in range(10)])) for i in range(60)]
+    rows += [(100 + i, " ".join(f"w{rng.randint(0, 3000)}" for _ in range(50))) for i in range(300)]
+    df = spark.createDataFrame(rows, "chunk_no bigint, text string")
+    got = sorted(tuple(r) for r in nd.similar_pairs(df).collect())
+    assert got == sorted(brute(rows)) and len(got) == 60 * 59 // 2
