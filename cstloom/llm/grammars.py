@@ -20,7 +20,7 @@ KEYWORDS: dict[str, dict[str, str]] = {
     "python": {"if": "I", "elif": "J", "else": "L", "for": "R", "while": "W", "def": "D", "class": "C", "return": "T", "raise": "T", "import": "A", "from": "f", "as": "g", "pass": "B", "break": "B", "continue": "B", "try": "Y", "except": "Z", "finally": "V", "with": "H", "global": "G", "nonlocal": "G", "del": "T", "assert": "T", "lambda": "l", "yield": "u", "await": "u", "not": "N", "and": "o", "or": "o", "is": "o", "in": "i", "async": "y", "True": "n", "False": "n", "None": "n"},
     "javascript": _JS,
     "typescript": _JS | {"interface": "C", "enum": "C", "namespace": "C", "type": "t", "public": "m", "private": "m", "protected": "m", "readonly": "m", "abstract": "M", "declare": "M", "implements": "e", "keyof": "u"},
-    "java": _COMMON | _TRY | {"class": "C", "interface": "C", "enum": "C", "import": "A", "package": "P", "extends": "e", "implements": "e", "throws": "e", "instanceof": "o"} | dict.fromkeys("public private protected static final abstract synchronized native transient volatile strictfp".split(), "M"),
+    "java": _COMMON | _TRY | {"class": "C", "interface": "C", "enum": "C", "import": "A", "package": "P", "extends": "e", "implements": "e", "throws": "e", "instanceof": "i", "assert": "E", "yield": "T"} | dict.fromkeys("public private protected static final abstract synchronized native transient volatile strictfp".split(), "M"),
     "csharp": _COMMON | _TRY | {"foreach": "R", "using": "A", "class": "C", "struct": "C", "interface": "C", "enum": "C", "namespace": "C", "record": "C", "is": "o", "as": "o", "in": "o", "base": "n", "await": "u", "lock": "W"} | dict.fromkeys("public private protected internal static readonly sealed override virtual abstract async const partial extern unsafe ref out params".split(), "M"),
     "c": _COMMON | {"struct": "C", "union": "C", "enum": "C", "goto": "B", "sizeof": "u"} | dict.fromkeys("const static extern inline volatile register typedef restrict".split(), "M"),
     "cpp": _COMMON | _TRY | {"struct": "C", "union": "C", "enum": "C", "class": "C", "namespace": "C", "goto": "B", "sizeof": "u", "delete": "u", "using": "A", "template": "M", "public": "m", "private": "m", "protected": "m", "nullptr": "n"} | dict.fromkeys("const static extern inline volatile register typedef virtual explicit constexpr mutable friend override noexcept".split(), "M"),
@@ -49,7 +49,7 @@ LEXERS = {
     "python": _lexer(r"\#[^\n]*|\\\r?\n", rf"""(?i:[rbuf]{{0,2}})(?:\"\"\"(?:\\.|[^\\])*?\"\"\"|'''(?:\\.|[^\\])*?'''|{_STRING}|{_QUOTED})"""),
     "javascript": _lexer(rf"{_C_COMMENT}|\A\#![^\n]*", rf"{_STRING}|{_QUOTED}|`(?:\\.|[^`\\])*`"),
     "typescript": _lexer(rf"{_C_COMMENT}|\A\#![^\n]*|(?<=\w)<[A-Za-z_][\w., <>\[\]|&?:\"']*>(?=[\s({{\[,;)>=|&]|$)|@{_NAME}", rf"{_STRING}|{_QUOTED}|`(?:\\.|[^`\\])*`"),
-    "java": _lexer(rf"{_C_COMMENT}|(?<=\w)<[A-Za-z_?][\w., <>\[\]?&]*>|@(?!interface\b){_NAME}", rf'"""(?:\\.|[^\\])*?"""|{_STRING}|{_QUOTED}'),
+    "java": _lexer(rf"{_C_COMMENT}|(?<=\w)<(?:[A-Za-z_?][\w., <>\[\]?&]*)?>|@(?!interface\b){_NAME}(?:\.{_NAME})*(?![\w.]|\s*\()", rf'"""(?:\\.|[^\\])*?"""|{_STRING}|{_QUOTED}'),
     "csharp": _lexer(rf"{_C_COMMENT}|{_DIRECTIVE}|(?<=\w)<[A-Za-z_][\w., <>\[\]?]*>(?=[\s(\[,;)>{{.]|$)", rf'[$@]{{1,2}}"(?:""|[^"])*"|"""(?:[^"]|"(?!""))*"""|{_STRING}|{_QUOTED}'),
     "c": _lexer(rf"{_C_COMMENT}|{_DIRECTIVE}", rf"(?:L|u8?|U)?(?:{_STRING}|{_QUOTED})"),
     "cpp": _lexer(rf"{_C_COMMENT}|{_DIRECTIVE}|(?<=\w)<[A-Za-z_][\w.:, <>\[\]*&]*>(?=[\s(\[,;)>{{:*&]|$)|\btemplate\s*<[^;{{]*?>(?=\s*(?:class|struct|\w))", rf'R"\((?:[^)]|\)(?!"))*\)"|(?:L|u8?|U)?(?:{_STRING}|{_QUOTED})'),
@@ -140,26 +140,47 @@ def _javascript(typed: bool) -> Grammar:
     return Grammar(top, block, p, b, c)
 
 
-def _java_like(language: str) -> Grammar:
-    sharp = language == "csharp"
-    e = _expression(r"n|d|s|p|c|b" if sharp else r"n|d|s|p|c", r"\.(?:n|C|u)|p|b|x|c", cast=True)
+def _java() -> Grammar:
+    e = _expression(r"n|d|s|p|c|Spc", r"\.(?:n|C|u)|p|b|x|c|iM?n(?:\.n)*b*(?:p?n|p)?", cast=True)
+    many = rf"{e}(?:,{e})*"
+    kind = r"n(?:\.n)*b*"
+    marks = r"(?:@n(?:\.n)*p|M)*"
+    declare = rf"{marks}{kind}nb*(?:a{e})?(?:,nb*(?:a{e})?)*"
+    simple = [r"c", r";", rf"{declare};", rf"T(?:{e})?;", r"Bn?;", rf"E{e}(?::{e})?;", rf"{many};"]
+    lead = rf"(?:L?Ip|L|M?Rp|Wp|O|n:|J(?:{kind}n|{many}):|Q:)*"
+    generic = rf"(?:un(?:e{kind}(?:o{kind})*)?(?:,n(?:e{kind}(?:o{kind})*)?)*o)?"
+    throws = rf"(?:e{kind}(?:,{kind})*)?"
+    class_ = rf"{marks}@?Cnp?(?:e{kind}(?:,{kind})*)*c"
+    block = [rf"{lead}(?:{'|'.join(simple)})", rf"{lead}Yp?c", r"Zp?c", r"Vc", r"O?cWp;", r"Wp;", rf"{lead}Spc", r"Mp?c", r"np?c", rf"(?:J(?:{kind}n|{many})|Q)o(?:T?{e};|c)"]
+    block += [rf"{marks}Q?{marks}{generic}{kind}np(?:b*{throws}|Q{e})(?:c|;)", rf"{marks}{generic}np{throws}c", class_, class_ + ";"]
+    top = [r"(?:@n(?:\.n)*p)*Pn(?:\.n)*;", r"AM?n(?:\.[nu])*;", class_, r";"]
+    parameter = rf"{marks}{kind}(?:u|o)?nb*"
+    p = [_list(e), rf"(?:{parameter}(?:,{parameter})*)?", rf"(?:{declare}|{many})?;(?:{e})?;(?:{many})?", rf"{marks}{kind}n:{e}", rf"M*{kind}(?:o{kind})*n?", rf"{declare}(?:;{declare})*;?"]
+    b = [_list(e), r",*"]
+    c = [_list(e), rf"{ENUM_CONSTANTS};?"]
+    return Grammar(top, block, p, b, c)
+
+
+#: What an enum of Java begins with; a semicolon and members may follow.
+ENUM_CONSTANTS = r"(?:@n(?:\.n)*p)*np?c?(?:,(?:@n(?:\.n)*p)*np?c?)*,?"
+
+
+def _csharp() -> Grammar:
+    e = _expression(r"n|d|s|p|c|b", r"\.(?:n|C|u)|p|b|x|c", cast=True)
     many = rf"{e}(?:,{e})*"
     kind = r"n(?:\.n)*(?:b|\?)*"
     declare = rf"M*{kind}nb*(?:a{e})?(?:,nb*(?:a{e})?)*"
     simple = [r"c", r";", rf"{declare};", rf"T(?:{e})?;", r"Bn?;", rf"{many};"]
     lead = rf"(?:L?Ip|L|M?Rp|Wp|O|n:|J(?:{kind}n|{e}):|Q:)*"
-    block = [rf"{lead}(?:{'|'.join(simple)})", r"Yp?c", r"Zp?c", r"Vc", r"O?cWp;", r"Wp;", r"Spc", r"Apc" if sharp else r"np?c", rf"M*{kind}np(?:e{kind}(?:,{kind})*)?(?:c|;)", r"M*u?np(?::np)?c", rf"M*u?np(?:e{kind}(?:,{kind})*)?c"]
-    class_ = rf"b*M*Cn(?::{kind}(?:,{kind})*)?[c;]" if sharp else rf"M*Cnp?(?:e{kind}(?:,{kind})*)*c"
+    block = [rf"{lead}(?:{'|'.join(simple)})", r"Yp?c", r"Zp?c", r"Vc", r"O?cWp;", r"Wp;", r"Spc", r"Apc", rf"M*{kind}np(?:e{kind}(?:,{kind})*)?(?:c|;)", r"M*u?np(?::np)?c", rf"M*u?np(?:e{kind}(?:,{kind})*)?c"]
+    class_ = rf"b*M*Cn(?::{kind}(?:,{kind})*)?[c;]"
     block += [class_, class_ + ";"]
-    if sharp:
-        block += [rf"b*M*{kind}nc(?:a{e};)?", rf"M*{kind}no{e};", rf"b*M*{kind}npc", rf"M*A?{declare};", r"M*n;", rf"M*{kind}npo{e};"]
-        top = [r"M*AM?(?:na)?n(?:\.n)*;", r"Cn(?:\.n)*[c;]", class_, r";", r"b"]
-    else:
-        top = [r"Pn(?:\.n)*;", r"AM?n(?:\.[nou])*;", class_, r";"]
+    block += [rf"b*M*{kind}nc(?:a{e};)?", rf"M*{kind}no{e};", rf"b*M*{kind}npc", rf"M*A?{declare};", r"M*n;", rf"M*{kind}npo{e};"]
+    top = [r"M*AM?(?:na)?n(?:\.n)*;", r"Cn(?:\.n)*[c;]", class_, r";", r"b"]
     parameter = rf"b?M*{kind}(?:u|o)?nb*(?:a{e})?"
-    p = [_list(e), rf"(?:{parameter}(?:,{parameter})*)?", rf"(?:{declare}|{many})?;(?:{e})?;(?:{many})?", rf"M*{kind}n{'o' if sharp else ':'}{e}", rf"M*{kind}(?:o{kind})*n?", declare, rf"(?:M?{e},?)*" if sharp else r"n", rf"{declare}(?:;{declare})*;?"]
+    p = [_list(e), rf"(?:{parameter}(?:,{parameter})*)?", rf"(?:{declare}|{many})?;(?:{e})?;(?:{many})?", rf"M*{kind}no{e}", rf"M*{kind}(?:o{kind})*n?", declare, rf"(?:M?{e},?)*", rf"{declare}(?:;{declare})*;?"]
     b = [_list(e), r",*", r"n(?:\.n)*p?(?:,n(?:\.n)*p?)*"]
-    c = [_list(e), rf"n(?:p)?c?(?:,np?c?)*,?;?.*" if language == "java" else r"n(?:a[^;]*)?(?:,n(?:a[^;]*)?)*,?", rf"(?:b?a?{e}(?:a{e})?,?)*"]
+    c = [_list(e), r"n(?:a[^;]*)?(?:,n(?:a[^;]*)?)*,?", rf"(?:b?a?{e}(?:a{e})?,?)*"]
     return Grammar(top, block, p, b, c)
 
 
@@ -253,7 +274,7 @@ def _python() -> Grammar:
 
 @lru_cache(16)
 def grammar(language: str) -> Grammar:
-    make = {"python": _python, "javascript": lambda: _javascript(False), "typescript": lambda: _javascript(True), "go": _go, "rust": _rust, "java": lambda: _java_like("java"), "csharp": lambda: _java_like("csharp"), "c": lambda: _c_like("c"), "cpp": lambda: _c_like("cpp")}
+    make = {"python": _python, "javascript": lambda: _javascript(False), "typescript": lambda: _javascript(True), "go": _go, "rust": _rust, "java": _java, "csharp": _csharp, "c": lambda: _c_like("c"), "cpp": lambda: _c_like("cpp")}
     return make[language]()
 
 

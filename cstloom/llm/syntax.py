@@ -230,7 +230,10 @@ def derivable(language: str, context: str, shape: str) -> bool:
     if "!" in shape:
         return False
     if context == "c" and language != "python":
-        return g.allows("c", shape) or all(g.allows("block", s) for s in _cut(shape, language))
+        if g.allows("c", shape) or all(g.allows("block", s) for s in _cut(shape, language)):
+            return True
+        constants, _, members = shape.partition(";")
+        return language == "java" and re.fullmatch(rf"(?:{grammars.ENUM_CONSTANTS})?", constants) is not None and all(g.allows("block", s) for s in _cut(members, language))
     return g.allows(context, shape)
 
 

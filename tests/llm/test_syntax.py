@@ -64,3 +64,24 @@ def test_files(spark):
     assert {r.file_id for r in syntax.invalid_files(scans, chunks).collect()} == bad | {801}
     assert syntax.invalid_rates(scans, chunks).filter("invalid_files > files").count() == 0
     assert syntax.invalid_files(scans.limit(0), chunks.limit(0)).count() == 0
+
+
+JAVA_BODIES = [
+    "int a = 1; assert a > 0 : \"x\"; return a;", "a.b(c); List<String> d = new ArrayList<>();", "boolean q = a instanceof B b && b.c();", "x = 1; int y = switch (x) { case 1, 2 -> 3; default -> throw z; };", "a(); switch (b) { case C: d(); break; default: return; }",
+    "f(() -> { g(); }); h(A::b);", "int[] a = {1, 2}; for (int b : a) { c(b); }", "a = b ? c : d; synchronized (a) { b(); }", "Object a = new B() { int c; public D e() { return c; } };", "x++; try (A a = b()) { c(); } catch (D | E f) { } finally { g(); }",
+]
+JAVA_MEMBERS = ["int a; @X(1) private int b; static { b = 2; } public <T extends C> T f(T d) throws E { return d; }", "A, B(1) { int f() { return 1; } }, C;  int d; int f() { return d; }", "X; static int y = 3;", "A, B,", "int a(); default void f() { g(); }"]
+JAVA_BROKEN = ["int a = 1 int b = 2;", "x = 1; a b c;", "x = 1; return a", "int a; x = a + ;", "a(); b = = c;", "A, B; int c = ; int d;", "a(); if b { c(); }", "x = 1; for (int a : b) c d e;"]
+
+
+def test_java_bodies_that_begin_with_a_name(spark):
+    texts = [f"class A {{ void f() {{ {body} }} }}" for body in JAVA_BODIES] + [f"enum A {{ {members} }}" for members in JAVA_MEMBERS]
+    for text in texts:
+        assert is_valid(text, "java"), text
+    broken = [f"class A {{ void f() {{ {body} }} }}" for body in JAVA_BROKEN] + ["class A { int a; int b int c; }"]
+    for text in broken:
+        assert not is_valid(text, "java"), text
+    assert not any("*" in pair for pair in grammars.permissible_pairs("java")) and not {"dn", "o;"} & grammars.permissible_pairs("java")
+    rows = [(i, "r/a.java", "java", text) for i, text in enumerate(texts + broken)]
+    found = syntax.judged_texts(spark.createDataFrame([(i, lang, text) for i, _, lang, text in rows], "file_id bigint, language string, text string"))
+    assert {r.file_id for r in found.collect()} == set(range(len(texts), len(rows)))
