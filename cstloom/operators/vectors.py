@@ -18,6 +18,8 @@ from pyspark.sql.window import Window
 
 #: Query vectors sent to the executors at once (64 dimensions: 4 MB); more are worked off in blocks.
 QUERY_BLOCK = 8_192
+#: Entries of a matrix of distances, and differences of vectors, held at once.
+MATRIX, DIFFERENCES = 1 << 23, 1 << 22
 
 
 def squared_l2(a: Column, b: Column) -> Column:
@@ -58,6 +60,42 @@ def top_k(collection: DataFrame, query: list[float], k: int = 10, key: str = "ve
     return near.withColumn("similarity", 1 - F.col("distance")).withColumn("rank", F.row_number().over(Window.orderBy("distance", key)))
 
 
+def _first(*columns: np.ndarray, group: np.ndarray, k: int) -> np.ndarray:
+    """Positions of the first k of every group in the order of the columns."""
+    order = np.lexsort((*reversed(columns), group))
+    g = group[order]
+    new = np.r_[True, g[1:] != g[:-1]] if len(g) else np.zeros(0, bool)
+    at = np.arange(len(g))
+    return order[at - np.maximum.accumulate(np.where(new, at, 0)) < k]
+
+
+def _nearest(q: np.ndarray, own: np.ndarray, x: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(query, id, distance): exactly the k first rows of every query by distance and id.
+
+    Equal vectors are one entry with their k smallest ids.  Rough distances only
+    leave out what lies beyond the k-th by more than their rounding can be off.
+    """
+    x = np.ascontiguousarray(x + 0.0)  # no negative zeros, so that equal vectors have equal bytes
+    _, at, group = np.unique(x.view(f"V{x.strides[0]}").ravel(), return_index=True, return_inverse=True)
+    members = _first(own, group=group, k=k)
+    u, members, sizes = x[at], own[members], np.bincount(group[members], minlength=len(at))
+    starts = np.cumsum(sizes) - sizes
+    qq, uu = (q * q).sum(1), (u * u).sum(1)
+    m, rows = min(k, len(u)), max(1, MATRIX // len(u))
+    for a in range(0, len(q), rows):
+        scale = qq[a : a + rows, None] + uu[None]
+        rough = scale - 2 * q[a : a + rows] @ u.T
+        low, high = np.nan_to_num(rough - 1e-9 * scale, nan=-np.inf), np.nan_to_num(rough + 1e-9 * scale, nan=np.inf)
+        query, entry = np.nonzero(low <= np.partition(high, m - 1, 1)[:, m - 1 : m])
+        step = max(1, DIFFERENCES // x.shape[1])
+        d = np.concatenate([((u[entry[i : i + step]] - q[a + query[i : i + step]]) ** 2).sum(1) for i in range(0, len(entry), step)])
+        n = sizes[entry]
+        member = members[np.repeat(starts[entry], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
+        query, d = np.repeat(a + query, n), np.repeat(d, n)
+        best = _first(d, member, group=query, k=k)
+        yield query[best], member[best], d[best]
+
+
 def top_k_batch(collection: DataFrame, queries: DataFrame, k: int = 5, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(query_id, key, distance, similarity, rank) for every row (query_id, vector) of queries against the whole collection.
 
@@ -78,11 +116,8 @@ def top_k_batch(collection: DataFrame, queries: DataFrame, k: int = 5, key: str
                 if not len(pdf):
                     continue
                 x, own = np.stack(pdf[vector]).astype(np.float64), pdf[key].to_numpy()
-                rough = (q * q).sum(1)[:, None] + (x * x).sum(1)[None] - 2 * q @ x.T
-                m = min(len(x), k + 4)
-                near = np.argpartition(rough, m - 1, 1)[:, :m]
-                d = ((x[near] - q[:, None]) ** 2).sum(2)
-                yield pd.DataFrame({"query_id": np.repeat(ids, m), key: own[near].ravel(), "distance": d.ravel()})
+                for part in _nearest(q, own, x, k):
+                    yield pd.DataFrame({"query_id": ids[part[0]], key: part[1], "distance": part[2]})
 
         part = collection.select(key, vector).mapInPandas(run, f"query_id bigint, `{key}` bigint, distance double")
         out = part if out is None else out.unionByName(part)

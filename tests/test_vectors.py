@@ -58,3 +58,17 @@ def test_collection_round_trip(spark, tmp_path):
     hits = collection.search(stored, stored.filter("id = 'c3'").first().document, 2, language="python").collect()
     assert hits[0].id == "c3" and hits[0].code == "def f3(): pass" and len(hits) == 2
     assert collection.displayed(collection.search(stored, "f1", 3)).count() == 3
+
+
+def test_batch_keeps_the_smallest_ids_of_equal_vectors(spark):
+    rng = np.random.default_rng(5)
+    ids = rng.permutation(200).tolist()
+    near, far = rng.normal(size=8).tolist(), rng.normal(size=8)
+    rows = [(i, near) for i in ids[:100]] + [(i, [0.0] * j + [s] + [-0.0] * (7 - j)) for i, (s, j) in zip(ids[100:], [(s, j) for s in (1.0, -1.0) for j in range(8)] * 7)]
+    queries = spark.createDataFrame([(1, near), (2, [0.0] * 8), (3, far.tolist())], "query_id bigint, embedding array<double>")
+    for parts in (1, 3):
+        df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>").repartition(parts)
+        got = vectors.top_k_batch(df, queries, 5).orderBy("query_id", "rank").collect()
+        for q, v in ((1, near), (2, [0.0] * 8), (3, far)):
+            want = sorted((((np.array(x) - np.array(v)) ** 2).sum(), i) for i, x in rows)[:5]
+            assert [r.vec_id for r in got if r.query_id == q] == [i for _, i in want]
