@@ -53,3 +53,21 @@ def test_tables(spark, monkeypatch, few):
     assert set(got) == {1, 2, 3, 4} and got[2].abusive == 0 and not got[3].flagged
     assert abuse.rates(abuse.scored(docs, labels, terms)).count() == 2
     assert abuse.scored(docs.limit(0), labels, terms).count() == 0
+
+
+@pytest.mark.parametrize("labels", [[], [(4, "a", "none")], [(1, "a", "abusive")]])
+def test_the_list_decides_without_labels_of_both_kinds(spark, labels):
+    docs = spark.createDataFrame([(1, "you 1diot", "en", "r"), (2, "nackt fotos von dir", "de", "r"), (3, "nackt", "de", "r"), (4, "fine " * 200, "en", "r"), (5, None, None, None)], "doc_id bigint, text string, lang string, source string")
+    terms = spark.createDataFrame([("idiot", "abusive"), ("nackt fotos", "sexual"), ("fine", "other"), (None, "sexual")], "term string, category string")
+    got = {r.doc_id: r for r in abuse.scored(docs, spark.createDataFrame(labels, "doc_id bigint, annotator string, label string"), terms).collect()}
+    assert {i for i, r in got.items() if r.flagged} == {1, 2} and got[1].abusive == 1 and got[2].sexual == 1 and len(got) == 5
+
+
+def test_listed_words_that_no_labelled_document_uses(monkeypatch):
+    monkeypatch.setattr(abuse, "STEPS", 300)
+    terms = pd.DataFrame({"term": ["scumbag", "connard"], "category": ["abusive", "abusive"]})
+    judge = abuse.train(sample(400, 1), terms)
+    rows = judge.vocabulary.rows(abuse.words_of("scumbag connard unheard"))
+    assert (rows[:2] > 0).all() and rows[2] == 0
+    scores = judge.score(["the parser reads every connard of a file", "the parser reads every unheard of a file"])
+    assert scores[0, 0] > scores[1, 0]
