@@ -402,6 +402,9 @@ def find_all(texts: list[str | None], field: Crf) -> list[list[list[tuple[int, i
             if a >= done:
                 kept.append(found)
                 done = max(b, found[-1][1])
+            elif found[-1][1] > done:  # the edge of a window cut what was kept
+                kept[-1] = kept[-1] + [(max(x, done), y) for x, y in found if y > done]
+                done = found[-1][1]
         out[k] = kept
     return out
 

@@ -51,3 +51,12 @@ def test_tables(spark):
     assert [tuple(r) for r in cr.in_trees(records).collect()] == [("node", 7, 3)]
     assert {r.pre: r.text for r in cr.masked_nodes(records).collect()} == {1: text.replace("Flomber-dasket-71", "x" * 17), 3: '"' + "x" * 17 + '"'}
     assert cr.in_chunks(chunks.limit(0)).count() == 0 and cr.in_trees(records.limit(0)).count() == 0
+
+
+def test_credentials_across_the_edge_of_a_window(field):
+    secret = "Flomber-dasket-71"
+    for shift in range(40):
+        head = "x = y; " * 565 + " " * shift + 'db_password = "'
+        text = head + secret + '"; ' + "z = y; " * 300
+        found = cr.find_all([text], field)[0]
+        assert len(found) == 1 and cr.mask(text, found) == text.replace(secret, "x" * len(secret)), shift
