@@ -22,6 +22,7 @@ from __future__ import annotations
 import re
 import unicodedata
 import zlib
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
@@ -35,10 +36,10 @@ CATEGORIES = ("abusive", "hateful", "sexual")
 SAMPLE, SEEN = 12_000, 3
 #: One document in so many is held out for the thresholds; a language needs so many positive ones for a threshold of its own.
 HELD_OUT, LEAST_POSITIVE = 5, 10
-#: Other words kept of a run of them, no fewer than the widest filter takes.
-RUN = 5
-#: Embedding size, filters of each width, widths, steps, documents a step, words of a block.
+#: Embedding size, filters of each width, widths (1 and up), steps, documents a step, words of a block.
 DIM, FILTERS, WIDTHS, STEPS, BATCH, BLOCK = 24, 24, (1, 2, 3, 4), 1_200, 48, 12
+#: Words of a stretch that is scored at once, characters of a batch of texts, and pieces remembered at once; they only bound memory.
+STRETCH, BATCH_CHARS, REMEMBERED = 6_000, 2_000_000, 400_000
 #: Signs that stand for letters inside words.
 LOOK_ALIKE = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i", "|": "i", "€": "e", "µ": "u", "а": "a", "е": "e", "о": "o", "с": "c", "р": "p", "і": "i", "у": "y", "х": "x"})
 _WORD = re.compile(r"[^\W\d_]+(?:[0-9@$!|€*'’]+[^\W\d_]+)*|[0-9@$]+[^\W\d_]+(?:[0-9@$!|*]+[^\W\d_]+)*|[.!?\n>]")
@@ -83,129 +84,186 @@ class Vocabulary:
         if not len(self.hashes) or not len(w):
             return np.zeros(len(w), np.int64)
         at = np.minimum(np.searchsorted(self.hashes, w), len(self.hashes) - 1)
-        rows = np.where(self.hashes[at] == w, at + 1, 0)
-        # of a run of other words the first few stand for all: more of them change no filter's answer
-        other = np.cumsum(rows == 0)
-        back = np.zeros(len(rows), np.int64)
-        back[RUN:] = other[:-RUN] if len(rows) > RUN else 0
-        return rows[(rows > 0) | (other - back < RUN) | (np.arange(len(rows)) < RUN)]
+        return np.where(self.hashes[at] == w, at + 1, 0)
+
+
+_LONE_HEAD, _LONE_TAIL = re.compile(r"[^\W\d_](?![^\W_])"), re.compile(r"(?<![^\W_])[^\W\d_]\Z")
+_LONE_PAIR = re.compile(r"(?<![^\W_])[^\W\d_][.\-_*][^\W\d_](?![^\W_])")
+_BREAK = "\0"
+
+
+class Reader(dict):
+    """Rows of the words of texts, as words_of and Vocabulary.rows give them.
+
+    Texts are cut at white space, and a piece is read once and remembered.  Only
+    letters spaced out over several pieces need the whole text, which is then
+    read as a whole.
+    """
+
+    def __init__(self, vocabulary: Vocabulary):
+        super().__init__()
+        self.vocabulary = vocabulary
+        self.row_of = {h: k + 1 for k, h in enumerate(vocabulary.hashes.tolist())}
+        self._forget()
+
+    def _forget(self) -> None:
+        self.clear()
+        self.flat, self.starts, self.sizes, self.lone = array("q"), array("q"), array("q"), bytearray()
+
+    def __missing__(self, piece: str) -> int:
+        row, me, lone = self.row_of, len(self.starts), 0
+        if piece.isalpha():
+            rows = [row.get(word_hash(piece), 0)]
+            lone = 3 * (len(piece) == 1)
+        else:
+            rows = [row.get(h, 0) for h in words_of("\n" if piece == _BREAK else piece)]
+            lone = bool(_LONE_HEAD.match(piece)) + 2 * bool(_LONE_TAIL.search(piece[-2:])) + 4 * bool(_LONE_PAIR.search(piece))
+        self.starts.append(len(self.flat))
+        self.sizes.append(len(rows))
+        self.lone.append(lone)
+        self.flat.extend(rows)
+        self[piece] = me
+        return me
+
+    def read(self, texts: list[str]) -> list[np.ndarray]:
+        if not texts:
+            return []
+        if len(self) > REMEMBERED or len(self.flat) > 20 * REMEMBERED:
+            self._forget()
+        pieces, counts = [], []
+        for text in texts:
+            own = text.replace(_BREAK, " ").replace("\n", f" {_BREAK} ").split()
+            pieces += own
+            counts.append(len(own))
+        at = np.fromiter(map(self.__getitem__, pieces), np.int64, len(pieces))
+        lone, sizes, starts = (np.array(x)[at] for x in (np.frombuffer(self.lone, np.uint8), np.frombuffer(self.sizes, np.int64), np.frombuffer(self.starts, np.int64)))
+        ends = np.cumsum(counts)
+        next_to = np.zeros(len(at) + 1, bool)  # a lone letter ends a piece and one begins the next
+        next_to[:-2] = (lone[:-1] & 2 > 0) & (lone[1:] & 1 > 0)
+        next_to[ends - 1] = False
+        pair = lone & 4 > 0
+        spaced = next_to[:-1] & (next_to[1:] | pair | np.r_[pair[1:], False]) if len(at) else next_to[:-1]
+        before = np.cumsum(sizes) - sizes
+        flat = np.array(np.frombuffer(self.flat, np.int64))[np.repeat(starts - before, sizes) + np.arange(int(sizes.sum()))]
+        cut = np.concatenate([[0], np.cumsum(sizes)])[np.concatenate([[0], ends])]
+        whole = set(np.searchsorted(ends, np.flatnonzero(spaced), "right").tolist())
+        return [self.vocabulary.rows(words_of(text)) if i in whole else flat[cut[i] : cut[i + 1]] for i, text in enumerate(texts)]
 
 
 class TextCnn:
     """Embedding, filters of several widths, maximum over a window, logistic layer, maximum over the windows.
 
     Windows of two blocks of BLOCK words slide by one block, so that answers from
-    far apart in a long text never add up.
+    far apart in a text never add up.  The filters stand in the order of their
+    widths; ``W{j}`` holds what the j-th word contributes to those wide enough.
     """
 
     def __init__(self, rows: int, seed: int = 3):
         rng = np.random.default_rng(seed)
-        self.p = {"E": rng.normal(0, 0.3, (rows, DIM)), "V": rng.normal(0, 0.1, (len(WIDTHS) * FILTERS, len(CATEGORIES))), "c": np.full(len(CATEGORIES), -2.5)}
+        one = lambda *shape: rng.normal(0, 1, shape).astype(np.float32)
+        scale = np.repeat([1 / np.sqrt(w * DIM) for w in WIDTHS], FILTERS).astype(np.float32)
+        self.p = {"E": 0.3 * one(rows, DIM), "V": 0.1 * one(len(WIDTHS) * FILTERS, len(CATEGORIES)), "c": np.full(len(CATEGORIES), -2.5, np.float32), "b": np.zeros(len(WIDTHS) * FILTERS, np.float32)}
         self.p["E"][0] = 0
-        for w in WIDTHS:
-            self.p[f"W{w}"], self.p[f"b{w}"] = rng.normal(0, 1 / np.sqrt(w * DIM), (w, DIM, FILTERS)), np.zeros(FILTERS)
+        for j in range(len(WIDTHS)):
+            self.p[f"W{j}"] = one(DIM, (len(WIDTHS) - j) * FILTERS) * scale[j * FILTERS :]
 
-    def tables(self) -> dict[int, list[np.ndarray]]:
-        """For each width and place in the filter, what a word adds to every filter's answer."""
-        return {w: [(self.p["E"] @ self.p[f"W{w}"][j]).astype(np.float32) for j in range(w)] for w in WIDTHS}
+    def tables(self, rows: np.ndarray | None = None) -> list[np.ndarray]:
+        """For each place in a filter, what a word adds to the answers of the filters that reach so far."""
+        e = self.p["E"] if rows is None else self.p["E"][rows]
+        return [e @ self.p[f"W{j}"] for j in range(len(WIDTHS))]
 
     @staticmethod
     def _joined(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         """All documents behind one another, padded to whole blocks and one more, and the blocks of each."""
-        blocks = np.array([-(-(len(d) + 1) // BLOCK) + 1 for d in docs])
-        starts = np.concatenate([[0], np.cumsum(blocks)])[:-1]
-        ids = np.zeros(int(blocks.sum()) * BLOCK + max(WIDTHS), np.int64)
-        for s, d in zip(starts, docs):
-            ids[s * BLOCK : s * BLOCK + len(d)] = d
+        size = np.array([len(d) for d in docs])
+        blocks = -(-(size + 1) // BLOCK) + 1
+        starts = np.cumsum(blocks) - blocks
+        ids = np.zeros(int(blocks.sum()) * BLOCK + len(WIDTHS), np.int64)
+        ids[np.repeat(starts * BLOCK - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))] = np.concatenate(docs)
         return ids, blocks
 
-    def blocks(self, ids: np.ndarray, n: int, tables: dict, where: bool) -> tuple[np.ndarray, np.ndarray | None]:
-        """Greatest answer of every filter in each of n blocks, and where."""
-        best, at = [], []
-        for w in WIDTHS:
-            h = tables[w][0][ids[: n * BLOCK]]
-            for j in range(1, w):
-                h = h + tables[w][j][ids[j : j + n * BLOCK]]
-            h = h.reshape(n, BLOCK, FILTERS)
-            best.append(h.max(1) + self.p[f"b{w}"].astype(np.float32))
-            if where:
-                at.append(h.argmax(1) + np.arange(n)[:, None] * BLOCK)
-        return np.hstack(best), np.hstack(at) if where else None
-
-    def logits(self, docs: list[np.ndarray], tables: dict) -> np.ndarray:
+    def answers(self, ids: np.ndarray, tables: list[np.ndarray]) -> np.ndarray:
+        """(blocks, BLOCK, filters): every filter's answer at every word but the last few."""
+        n = len(ids) - len(WIDTHS)
+        h = tables[0][ids[:n]]
+        for j in range(1, len(WIDTHS)):
+            h[:, j * FILTERS :] += tables[j][ids[j : j + n]]
+        return h.reshape(-1, BLOCK, h.shape[1])
+
+    def logits(self, docs: list[np.ndarray], tables: list[np.ndarray]) -> np.ndarray:
         ids, blocks = self._joined(docs)
-        best, _ = self.blocks(ids, int(blocks.sum()), tables, False)
-        z = np.maximum(0, np.maximum(best[:-1], best[1:])) @ self.p["V"].astype(np.float32) + self.p["c"].astype(np.float32)
+        step = STRETCH // BLOCK * BLOCK
+        best = np.concatenate([self.answers(ids[at : min(at + step, len(ids) - len(WIDTHS)) + len(WIDTHS)], tables).max(1) for at in range(0, len(ids) - len(WIDTHS), step)]) + self.p["b"]
+        z = np.maximum(0, np.maximum(best[:-1], best[1:])) @ self.p["V"] + self.p["c"]
         z = np.vstack([z, np.full((1, z.shape[1]), -99, np.float32)])
-        starts = np.concatenate([[0], np.cumsum(blocks)])[:-1]
-        z[np.cumsum(blocks) - 1] = -99  # the window that would reach into the next document
-        return np.maximum.reduceat(z, starts)
+        ends = np.cumsum(blocks)
+        z[ends - 1] = -99  # the window that would reach into the next document
+        return np.maximum.reduceat(z, ends - blocks)
 
-    def scores(self, docs: list[np.ndarray], tables: dict) -> np.ndarray:
+    def scores(self, docs: list[np.ndarray], tables: list[np.ndarray]) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.logits(docs, tables), -30, 30))) if docs else np.zeros((0, len(CATEGORIES)))
 
     def fit(self, docs: list[np.ndarray], y: np.ndarray, weight: np.ndarray, seed: int = 4, steps: int = STEPS) -> TextCnn:
+        """Adam on BATCH documents a step; only the embeddings of words whose answers were kept move."""
         rng = np.random.default_rng(seed)
         m, v = {k: np.zeros_like(x) for k, x in self.p.items()}, {k: np.zeros_like(x) for k, x in self.p.items()}
-        n, size = len(docs), len(CATEGORIES)
-        order = np.zeros(0, np.int64)
+        size, order = len(CATEGORIES), np.zeros(0, np.int64)
+        y, weight = y.astype(np.float32), weight.astype(np.float32)
         for t in range(1, steps + 1):
             if len(order) < BATCH:
-                order = np.concatenate([order, rng.permutation(n)])
+                order = np.concatenate([order, rng.permutation(len(docs))])
             pick, order = order[:BATCH], order[BATCH:]
-            own = []
-            for i in pick:  # words are left out now and then, so that no single one carries a sentence
-                d = docs[i].copy()
-                d[rng.random(len(d)) < 0.1] = 0
-                own.append(d)
-            tables = self.tables()
-            ids, blocks = self._joined(own)
-            total = int(blocks.sum())
-            best, at = self.blocks(ids, total, tables, True)
+            ids, blocks = self._joined([docs[i] for i in pick])
+            ids[rng.random(len(ids)) < 0.1] = 0  # words are left out now and then, so that no single one carries a sentence
+            known, local = np.unique(ids, return_inverse=True)
+            h = self.answers(local, self.tables(known))
+            best = h.max(1) + self.p["b"]
             first = best[:-1] >= best[1:]
-            win = np.where(first, best[:-1], best[1:])
-            drop = (rng.random(win.shape[1]) > 0.2) / 0.8
-            r = np.maximum(0, win) * drop
+            drop = ((rng.random(best.shape[1]) > 0.2) / 0.8).astype(np.float32)
+            r = np.maximum(0, np.where(first, best[:-1], best[1:])) * drop
             z = r @ self.p["V"] + self.p["c"]
             ends = np.cumsum(blocks)
-            starts = ends - blocks
             z[ends[:-1] - 1] = -99
-            chosen = np.empty((len(pick), size), np.int64)
-            for i, (a, b) in enumerate(zip(starts, ends)):
-                chosen[i] = a + z[a : min(b, len(z))].argmax(0)
-            top = np.take_along_axis(z, chosen, 0)
-            prob = 1 / (1 + np.exp(-np.clip(top, -30, 30)))
+            chosen = np.array([a + z[a : min(b, len(z))].argmax(0) for a, b in zip(ends - blocks, ends)])
+            prob = 1 / (1 + np.exp(-np.clip(np.take_along_axis(z, chosen, 0), -30, 30)))
             dz = (prob - y[pick]) * weight[pick, None] / len(pick)
             rows, back = np.unique(chosen.ravel(), return_inverse=True)
-            dw = np.zeros((len(rows), size))
+            dw = np.zeros((len(rows), size), np.float32)
             np.add.at(dw, (back.ravel(), np.tile(np.arange(size), len(pick))), dz.ravel())
             rr = r[rows]
-            g = {"V": rr.T @ dw + 1e-4 * self.p["V"], "c": dw.sum(0), "E": 2e-5 * self.p["E"]}
+            g = {"V": rr.T @ dw + 1e-4 * self.p["V"], "c": dw.sum(0)}
             da = (dw @ self.p["V"].T) * (rr > 0) * drop
-            spot = np.where(first[rows], at[rows], at[np.minimum(rows + 1, total - 1)])
+            g["b"] = da.sum(0)
+            row, filter_ = np.nonzero(da)
+            d, block = da[row, filter_], rows[row] + ~first[rows[row], filter_]
+            spot = block * BLOCK + h[block, :, filter_].argmax(1)
             moved, by = [], []
-            for k, w in enumerate(WIDTHS):
-                d, places = da[:, k * FILTERS : (k + 1) * FILTERS], spot[:, k * FILTERS : (k + 1) * FILTERS]
-                g[f"b{w}"], gw = d.sum(0), np.zeros_like(self.p[f"W{w}"])
-                for j in range(w):
-                    words = ids[places + j]
-                    gw[j] = np.einsum("nfd,nf->df", self.p["E"][words], d)
-                    live = np.flatnonzero((words.ravel() > 0) & (d.ravel() != 0))
-                    moved.append(words.ravel()[live])
-                    by.append(d.ravel()[live, None] * self.p[f"W{w}"][j].T[live % FILTERS])
-                g[f"W{w}"] = gw
-            words = np.concatenate(moved)
-            if len(words):
-                order_ = np.argsort(words, kind="stable")
-                words, change = words[order_], np.concatenate(by)[order_]
-                new = np.flatnonzero(np.r_[True, words[1:] != words[:-1]])
-                g["E"][words[new]] += np.add.reduceat(change, new, axis=0)
-            g["E"][0] = 0  # other words say nothing
+            for j in range(len(WIDTHS)):
+                far = filter_ >= j * FILTERS
+                f, dj, words = filter_[far] - j * FILTERS, d[far], ids[spot[far] + j]
+                w = self.p[f"W{j}"]
+                turn = np.argsort(f, kind="stable")
+                edge = np.searchsorted(f[turn], np.arange(w.shape[1]))
+                gw = np.add.reduceat(np.vstack([self.p["E"][words[turn]] * dj[turn, None], np.zeros((1, DIM), np.float32)]), edge, axis=0)
+                gw[np.diff(np.r_[edge, len(f)]) == 0] = 0
+                g[f"W{j}"] = gw.T
+                moved.append(words)
+                by.append(dj[:, None] * w.T[f])
+            words, change = np.concatenate(moved), np.concatenate(by)
+            change, words = change[words > 0], words[words > 0]  # other words say nothing
             rate = 0.006 * (1 - 0.8 * t / steps)
+            low, high = 1 - 0.9**t, 1 - 0.999**t
+            if len(words):
+                turn = np.argsort(words, kind="stable")
+                own, new = np.unique(words[turn], return_index=True)
+                ge = np.add.reduceat(change[turn], new, axis=0) + 2e-5 * self.p["E"][own]
+                m["E"][own] += 0.1 * (ge - m["E"][own])
+                v["E"][own] += 0.001 * (ge * ge - v["E"][own])
+                self.p["E"][own] -= rate * (m["E"][own] / low) / (np.sqrt(v["E"][own] / high) + 1e-8)
             for key, x in g.items():
                 m[key] += 0.1 * (x - m[key])
                 v[key] += 0.001 * (x * x - v[key])
-                self.p[key] -= rate * (m[key] / (1 - 0.9**t)) / (np.sqrt(v[key] / (1 - 0.999**t)) + 1e-8)
+                self.p[key] -= (rate * (m[key] / low) / (np.sqrt(v[key] / high) + 1e-8)).astype(np.float32)
         return self
 
 
@@ -224,19 +282,24 @@ class Judge:
         self.vocabulary, self.thresholds = vocabulary, thresholds
         self.tables = cnn.tables()
         self.cnn = cnn
-        self.cnn.p["E"] = np.zeros((1, DIM))  # the tables hold all that scoring needs
+        self.cnn.p["E"] = np.zeros((1, DIM), np.float32)  # the tables hold all that scoring needs
+        self.reader: Reader | None = None
+
+    def __getstate__(self) -> dict:
+        return {**self.__dict__, "reader": None}
 
     def score(self, texts: list[str | None]) -> np.ndarray:
-        """One row for each text and one column for each category; long batches are cut by length."""
+        """One row for each text and one column for each category; batches are cut by length."""
+        self.reader = self.reader if self.reader is not None else Reader(self.vocabulary)
         out = np.zeros((len(texts), len(CATEGORIES)))
-        docs = [(i, self.vocabulary.rows(words_of(t))) for i, t in enumerate(texts) if t and t.strip()]
+        told = [(i, t) for i, t in enumerate(texts) if t and t.strip()]
         at = 0
-        while at < len(docs):
+        while at < len(told):
             end, size = at, 0
-            while end < len(docs) and (end == at or size < 60_000):
-                size += len(docs[end][1])
+            while end < len(told) and (end == at or size < BATCH_CHARS):
+                size += len(told[end][1])
                 end += 1
-            out[[i for i, _ in docs[at:end]]] = self.cnn.scores([d for _, d in docs[at:end]], self.tables)
+            out[[i for i, _ in told[at:end]]] = self.cnn.scores(self.reader.read([t for _, t in told[at:end]]), self.tables)
             at = end
         return out
 
@@ -322,10 +385,14 @@ def train(sample: pd.DataFrame, terms: pd.DataFrame | None = None) -> Judge | Li
     return Judge(vocabulary, cnn, thresholds)
 
 
-def scored(documents: DataFrame, labels: DataFrame, terms: DataFrame | None = None) -> DataFrame:
-    """(doc_id, source, abusive, hateful, sexual, flagged) of every document."""
-    listed = terms.select("term", "category").distinct().toPandas() if terms is not None else None
-    judge = documents.sparkSession.sparkContext.broadcast(train(labelled_sample(documents, labels), listed))
+def fit(documents: DataFrame, labels: DataFrame, terms: DataFrame | None = None) -> Judge | ListJudge:
+    """A judge trained on the sample of labelled documents, and the listed terms."""
+    return train(labelled_sample(documents, labels), terms.select("term", "category").distinct().toPandas() if terms is not None else None)
+
+
+def scored(documents: DataFrame, labels: DataFrame, terms: DataFrame | None = None, fitted: Judge | ListJudge | None = None) -> DataFrame:
+    """(doc_id, source, abusive, hateful, sexual, flagged) of every document, by a fitted judge if one is given."""
+    judge = documents.sparkSession.sparkContext.broadcast(fitted if fitted is not None else fit(documents, labels, terms))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

@@ -71,3 +71,18 @@ def test_listed_words_that_no_labelled_document_uses(monkeypatch):
     assert (rows[:2] > 0).all() and rows[2] == 0
     scores = judge.score(["the parser reads every connard of a file", "the parser reads every unheard of a file"])
     assert scores[0, 0] > scores[1, 0]
+
+
+def test_reader_agrees_with_whole_texts():
+    texts = ["you i d i o t, a b", "x y. z", "c.l.o.w.n of", "a​b c\n\nd'e it's 1d10t!!", "", "\0 null\0s", "y a b.c d", "so\tI a\nb c", "fine " * 50, "A.B C"]
+    vocabulary = abuse.Vocabulary(np.unique([h for t in texts for h in abuse.words_of(t)]))
+    reader = abuse.Reader(vocabulary)
+    for got, text in zip(reader.read(texts), texts):
+        assert got.tolist() == vocabulary.rows(abuse.words_of(text.replace("\0", " "))).tolist()
+    assert [len(r) for r in reader.read(texts)] == [len(r) for r in reader.read(texts)] and reader.read([]) == []
+
+
+def test_words_far_apart_stay_apart():
+    vocabulary = abuse.Vocabulary(np.unique(abuse.words_of("first second")))
+    rows = abuse.Reader(vocabulary).read(["first " + "unheard " * 40 + "second"])[0]
+    assert np.flatnonzero(rows).tolist() == [0, 41]
