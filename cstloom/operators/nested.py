@@ -4,13 +4,16 @@ Every node of a record gets interval labels by a depth-first walk: ``pre`` (its
 preorder number), ``post`` (its postorder number) and ``last`` (the preorder
 number of its last descendant).  ``x`` lies below ``u`` exactly if they share
 ``file_id`` and ``u.pre < x.pre <= u.last``; the innermost such ``u`` is the
-parent.  Null entries of ``children`` get no number, one object in place of the
-array is the only child.
+parent, and that is how links are made (``innermost``).  Null entries of
+``children`` get no number, one object in place of the array is the only child.
+
+A record is parsed once: the walk gives one row per record, with its nodes as an
+array, and the rows of a file are combined on the map side before one is left.
 
 Defined results: records with a null file_id, null or unreadable JSON, or
 without a root object that has a type give no rows; of the readable records of
 a file the one with the greatest written_at counts (null is the smallest, then
-the greater text decides); an empty table gives an empty table; further columns
+a hash of the text decides); an empty table gives an empty table; further columns
 of the input are ignored.
 """
 
@@ -21,13 +24,10 @@ import re
 from collections.abc import Iterator
 from json.decoder import scanstring
 
-import pandas as pd
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType
-
-from cstloom.session import spread
 
 NODE_SCHEMA = (
     "file_id bigint, pre bigint, post bigint, last bigint, parent_pre bigint, depth int, ord int, type string, text string, "
@@ -150,16 +150,30 @@ def _point(p) -> tuple[int | None, int | None]:
     return None, None
 
 
-def _labelled(file_id: int, root: dict, columns: list[str]) -> dict[str, list]:
+def innermost(last: np.ndarray) -> np.ndarray:
+    """The innermost interval around each of a tree's intervals (position, last), -1 for the root.
+
+    The depth of an interval is the number of intervals that are open where it
+    begins; the one around it is the latest of the depth above that began before.
+    """
+    n = len(last)
+    pre = np.arange(n)
+    depth = np.cumsum(np.bincount(pre + 1, minlength=n + 1)[:n] - np.bincount(last + 1, minlength=n + 1)[:n]) if n else pre
+    order = np.lexsort((pre, depth))
+    at = np.searchsorted(depth[order] * np.int64(n + 1) + pre[order], (depth - 1) * np.int64(n + 1) + pre) - 1
+    return np.where(depth > 0, order[np.maximum(at, 0)], -1)
+
+
+def _labelled(root: dict, columns: list[str]) -> dict[str, list]:
     nodes, parents, depths, ords = walk(root)
     n = len(nodes)
-    out: dict[str, list] = {"file_id": [file_id] * n, "pre": list(range(n)), "parent_pre": [None if p < 0 else p for p in parents], "depth": depths, "ord": ords}
-    if "post" in columns or "last" in columns:
-        size = [1] * n
-        for i in range(n - 1, 0, -1):
-            size[parents[i]] += size[i]
-        out["last"] = [i + s - 1 for i, s in enumerate(size)]
-        out["post"] = [last - d for last, d in zip(out["last"], depths)]
+    size = [1] * n
+    for i in range(n - 1, 0, -1):
+        size[parents[i]] += size[i]
+    last = [i + s - 1 for i, s in enumerate(size)]
+    out: dict[str, list] = {"pre": list(range(n)), "last": last, "post": [x - d for x, d in zip(last, depths)], "depth": depths, "ord": ords}
+    if "parent_pre" in columns:
+        out["parent_pre"] = [None if p < 0 else p for p in innermost(np.array(last)).tolist()]
     for c in ("type", "text"):
         if c in columns:
             out[c] = [x if isinstance(x := node.get(c), str) or x is None else json.dumps(x) for node in nodes]
@@ -175,48 +189,99 @@ def _labelled(file_id: int, root: dict, columns: list[str]) -> dict[str, list]:
     return {c: out[c] for c in columns}
 
 
-@F.pandas_udf(BooleanType())
-def _readable(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: load_root(t) is not None).astype(bool)
+def _column(values: list, kind: pa.DataType) -> pa.Array:
+    """An Arrow array; halves of surrogate pairs, which UTF-8 can't hold, become question marks."""
+    try:
+        return pa.array(values, kind)
+    except UnicodeEncodeError:
+        return pa.array([x if x is None else x.encode("utf-8", "replace").decode() for x in values], kind)
+
+
+def _rows(keys: list[str], types: list[str], records: list[tuple], parts: list[pa.Array], sizes: list[int]) -> pa.RecordBatch:
+    """A batch with the key columns and, per record, its nodes as an array of structs."""
+    nodes = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.concat_arrays(parts))
+    columns = [pa.array([r[i] for r in records], t) for i, t in enumerate(types)]
+    return pa.RecordBatch.from_arrays([*columns, nodes], names=[*keys, "nodes"])
+
+
+def valid_trees(records: DataFrame, columns: list[str]) -> DataFrame:
+    """(file_id, nodes): the labelled nodes of the readable record with the greatest written_at of every file."""
+    kind = pa.struct([(c, _ARROW[_TYPES[c]]) for c in columns])
+    keys, types = ["file_id", "written_at", "tie"], [pa.int64(), pa.timestamp("us", "UTC"), pa.int64()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held, parts, sizes = [], [], []
+            for file_id, written_at, tie, text in zip(*(batch.column(c) for c in (*keys, "cst_json"))):
+                root = load_root(text.as_py())
+                if root is None:
+                    continue
+                nodes = _labelled(root, columns)
+                held.append((file_id.as_py(), written_at.as_py(), tie.as_py()))
+                parts.append(pa.StructArray.from_arrays([_column(nodes[c], kind.field(c).type) for c in columns], fields=list(kind)))
+                sizes.append(len(parts[-1]))
+                if sum(sizes) > 50_000:
+                    yield _rows(keys, types, held, parts, sizes)
+                    held, parts, sizes = [], [], []
+            if held:
+                yield _rows(keys, types, held, parts, sizes)
 
+    few = records.filter(F.col("file_id").isNotNull() & F.col("cst_json").isNotNull()).select("file_id", F.col("written_at").cast("timestamp").alias("written_at"), F.xxhash64("cst_json").alias("tie"), "cst_json")
+    struct = ", ".join(f"{c}: {_TYPES[c]}" for c in columns)
+    parsed = few.mapInArrow(run, f"file_id bigint, written_at timestamp, tie bigint, nodes array<struct<{struct}>>")
+    return parsed.groupBy("file_id").agg(F.max_by("nodes", F.struct("written_at", "tie")).alias("nodes"))
 
-def valid_records(records: DataFrame, extra: Column | None = None) -> DataFrame:
-    """(file_id, cst_json): the readable record with the greatest written_at of every file.
+
+def valid_records(records: DataFrame) -> DataFrame:
+    """(file_id, cst_json): the readable record with the greatest written_at of every file, for those who read the JSON themselves.
 
     ``max_by`` combines on the map side, so however many records a file has, at
     most one of them per input partition is shuffled.
     """
-    few = records.select("file_id", "cst_json", "written_at").filter(F.col("file_id").isNotNull() & F.col("cst_json").isNotNull())
-    ok = spread(few).filter(_readable("cst_json"))
-    return ok.groupBy("file_id").agg(F.max_by("cst_json", F.struct("written_at", "cst_json")).alias("cst_json"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array([load_root(t.as_py()) is not None for t in batch.column("cst_json")], pa.bool_()))
+
+    few = records.filter(F.col("file_id").isNotNull() & F.col("cst_json").isNotNull()).select("file_id", "written_at", F.xxhash64("cst_json").alias("tie"), "cst_json")
+    return few.mapInArrow(run, few.schema).groupBy("file_id").agg(F.max_by("cst_json", F.struct("written_at", "tie")).alias("cst_json"))
 
 
 def flatten_trees(records: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """One row per node of every file's valid record, with the columns asked for (see NODE_SCHEMA)."""
     names = list(columns or _TYPES)
-    schema = pa.schema([(c, _ARROW[_TYPES[c]]) for c in names])
+    inner = [c for c in names if c != "file_id"]
+    return valid_trees(records, inner).select("file_id", F.inline("nodes")).select(*names)
+
+
+def child_links(records: DataFrame) -> DataFrame:
+    """(file_id, parent_pre, child_pre): every node but the roots with the innermost interval around it.
+
+    Only the intervals of the valid records are shuffled, and a file's links come
+    from them alone.
+    """
+    schema = pa.schema([("file_id", pa.int64()), ("parent_pre", pa.int64()), ("child_pre", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            held: dict[str, list] = {c: [] for c in names}
-            for file_id, text in zip(batch.column("file_id").to_pylist(), batch.column("cst_json")):
-                root = load_root(text.as_py())
-                if root is None:
-                    continue
-                for c, values in _labelled(file_id, root, names).items():
-                    held[c].extend(values)
-                if len(held[names[0]]) > 50_000:
-                    yield pa.RecordBatch.from_pydict(held, schema)
-                    held = {c: [] for c in names}
-            yield pa.RecordBatch.from_pydict(held, schema)
+            for file_id, last in zip(batch.column("file_id"), batch.column("last")):
+                around = innermost(np.array(last.values))
+                child = np.flatnonzero(around >= 0)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(child), file_id.as_py())), pa.array(around[child]), pa.array(child)], schema=schema)
 
-    return valid_records(records).mapInArrow(run, ", ".join(f"{c} {_TYPES[c]}" for c in names))
+    intervals = valid_trees(records, ["last"]).select("file_id", F.col("nodes.last").alias("last"))
+    return intervals.mapInArrow(run, "file_id bigint, parent_pre bigint, child_pre bigint")
 
 
-def child_links(records: DataFrame) -> DataFrame:
-    """(file_id, parent_pre, child_pre): the innermost enclosing interval of every node but the roots."""
-    n = flatten_trees(records, ["file_id", "parent_pre", "pre"])
-    return n.filter(F.col("parent_pre").isNotNull()).select("file_id", "parent_pre", F.col("pre").alias("child_pre"))
+def type_counts(nodes: DataFrame) -> DataFrame:
+    """(type, nodes, files, with_parent): how many rows the table of each node type has."""
+    per_file = nodes.groupBy("type", "file_id").agg(F.count("*").alias("n"), F.count("parent_pre").alias("p"))
+    return per_file.groupBy("type").agg(F.sum("n").alias("nodes"), F.count("*").alias("files"), F.sum("p").alias("with_parent"))
+
+
+def write_type_tables(nodes: DataFrame, folder: str) -> None:
+    """The node tables of all types in one pass, one folder ``type=...`` each; file_id and the intervals relate them."""
+    nodes.write.mode("overwrite").partitionBy("type").parquet(folder)
 
 
 def type_table(nodes: DataFrame, kind: str) -> DataFrame:

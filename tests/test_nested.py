@@ -2,6 +2,7 @@ import datetime as dt
 import json
 import random
 
+import numpy as np
 import pytest
 
 from cstloom.operators import nested
@@ -74,3 +75,29 @@ def test_deep_parser_agrees_with_json():
 
 def test_empty_table(spark):
     assert nested.flatten_trees(rows(spark).limit(0)).count() == 0
+
+
+def test_innermost_intervals_against_parents():
+    rng = random.Random(2)
+
+    def grow(depth):
+        return n("a", *[grow(depth - 1) for _ in range(rng.randint(0, 4) if depth else 0)])
+
+    for _ in range(20):
+        root = grow(5)
+        parents = nested.walk(root)[1]
+        assert nested.innermost(np.array(nested._labelled(root, ["last"])["last"])).tolist() == parents
+    assert nested.innermost(np.array([], np.int64)).tolist() == []
+
+
+def test_type_tables(spark, tmp_path):
+    nodes = nested.flatten_trees(rows(spark, (1, record(n("module", n("a", n("b")), n("a"))), DAY), (2, record(n("module", n("b"))), DAY)))
+    assert {tuple(r) for r in nested.type_counts(nodes).collect()} == {("module", 2, 2, 0), ("a", 2, 1, 2), ("b", 2, 2, 2)}
+    nested.write_type_tables(nodes, str(tmp_path / "t"))
+    a, b = (spark.read.parquet(str(tmp_path / "t" / f"type={x}")) for x in "ab")
+    assert [tuple(r) for r in nested.contained(a, b).collect()] == [(1, 1, 2)]
+
+
+def test_half_surrogates(spark):
+    text = record(n("module", n("a", text="x"))).replace('"x"', '"\\ud800x"')
+    assert [r.text for r in nested.flatten_trees(rows(spark, (1, text, DAY)), ["pre", "text"]).orderBy("pre").collect()] == [None, "?x"]
