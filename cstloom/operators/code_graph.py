@@ -1,76 +1,83 @@
 """Definitions and call, inheritance and method edges of Python texts.
 
+A text becomes rows of a node table (see ``sources.files.python_tree`` and
+``operators.nested``); definitions are a projection of it, and edges are joins on
+the number of a parent, or of the functions whose intervals hold a call.
+
 Names are bare, as written.  Asynchronous functions are neither definitions nor
 callers; a call inside a nested function counts for the inner and the outer one;
 bases that are not simple names are skipped.  Texts that don't parse become
-rejects.  ``upsert`` gives the graph in which nodes and edges of one name
-collapse and the last attributes win, in the order of paths.
+rejects.  ``upsert_edges`` and ``upsert_nodes`` give the graph in which nodes and
+edges of one name collapse and the last attributes win, in the order of paths and,
+in a file, of the levels of definitions.
 """
 
 from __future__ import annotations
 
-import ast
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-TAGGED = "file string, seq int, kind string, name string, type string, lineno int, docstring string, source string, dst string"
-
-
-def facts_of(text: str, file: str) -> list[tuple]:
-    """Rows (file, seq, kind, name, type, lineno, docstring, source, dst) of one text, breadth first."""
-    tree = ast.parse(text)
-    out: list[tuple] = []
+from cstloom.operators import nested
+from cstloom.session import reliable
+from cstloom.sources.files import python_tree
 
-    def edge(src: str, dst: str, kind: str) -> None:
-        out.append((file, len(out), "edge", src, kind, None, None, None, dst))
-
-    for node in ast.walk(tree):
-        if isinstance(node, (ast.FunctionDef, ast.ClassDef)):
-            out.append((file, len(out), "def", node.name, type(node).__name__, node.lineno, ast.get_docstring(node), ast.get_source_segment(text, node), None))
-        if isinstance(node, ast.FunctionDef):
-            for x in ast.walk(node):
-                if isinstance(x, ast.Call):
-                    called = x.func.id if isinstance(x.func, ast.Name) else x.func.attr if isinstance(x.func, ast.Attribute) else None
-                    if called:
-                        edge(node.name, called, "calls")
-        elif isinstance(node, ast.ClassDef):
-            for base in node.bases:
-                if isinstance(base, ast.Name):
-                    edge(node.name, base.id, "inherits")
-            for x in node.body:
-                if isinstance(x, ast.FunctionDef):
-                    edge(node.name, x.name, "defines_method")
-    return out
+TABLE = "doc bigint, file string, kind string, pre int, parent_pre int, depth int, type string, name string, lineno int, docstring string, source string, callers array<int>"
+#: Node types that definitions and edges are made of, and what definitions are called.
+KEPT = {"function_definition": "FunctionDef", "class_definition": "ClassDef", "call": None, "block": None, "argument_list": None, "identifier": None}
 
 
 def facts(texts: DataFrame, file: str = "filepath", text: str = "text") -> DataFrame:
-    """Tagged rows of all texts; kind reject carries the error as docstring."""
+    """The node table of all texts, written once; kind reject carries the error as docstring.
+
+    doc tells texts of one path apart; callers are the functions around a call.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows: list[tuple] = []
-            for path, code in zip(pdf[file], pdf[text]):
+            for doc, path, code in zip(pdf["doc"], pdf[file], pdf[text]):
                 try:
-                    rows += facts_of((code or "").replace("\r\n", "\n").lstrip("﻿"), path)
+                    root = python_tree((code or "").replace("\r\n", "\n").lstrip("﻿"), path or "")
                 except (SyntaxError, ValueError, RecursionError) as e:
-                    rows.append((path, 0, "reject", None, type(e).__name__, None, str(e), None, None))
-            out = pd.DataFrame(rows, columns=[c.split()[0] for c in TAGGED.split(", ")])
-            out["lineno"] = out["lineno"].astype("Int32")
-            yield out
-
-    return texts.select(file, text).mapInPandas(run, TAGGED)
-
-
-def definitions(tagged: DataFrame) -> DataFrame:
-    return tagged.filter("kind = 'def'").select("name", "type", "lineno", "file", "docstring", "source")
-
-
-def edges(tagged: DataFrame) -> DataFrame:
-    """All edges with the file and the place they come from, repeated ones too."""
-    return tagged.filter("kind = 'edge'").select(F.col("name").alias("src"), "dst", "type", "file", "seq")
+                    rows.append((doc, path, "reject", None, None, None, type(e).__name__, None, None, str(e), None, None))
+                    continue
+                nodes, parents, depths, _ = nested.walk(root)
+                around: list[list[int]] = []
+                for i, n in enumerate(nodes):
+                    outer = around[parents[i]] if i else []
+                    around.append([*outer, i] if n["type"] == "function_definition" else outer)
+                    if n["type"] in KEPT:
+                        defines = KEPT[n["type"]] is not None
+                        rows.append((doc, path, "node", i, parents[i], depths[i], n["type"], n.get("name"), n["start_point"][0] + 1, n.get("docstring"), n["text"] if defines else None, around[i] if n["type"] == "call" else None))
+            out = pd.DataFrame(rows, columns=[c.split()[0] for c in TABLE.split(", ")])
+            yield out.astype({c: "Int32" for c in ("pre", "parent_pre", "depth", "lineno")})
+
+    return reliable(texts.select(F.xxhash64(file, text).alias("doc"), file, text).mapInPandas(run, TABLE))
+
+
+def definitions(table: DataFrame) -> DataFrame:
+    """(name, type, lineno, file, docstring, source) of functions and classes."""
+    kind = F.when(F.col("type") == "function_definition", KEPT["function_definition"]).when(F.col("type") == "class_definition", KEPT["class_definition"])
+    return table.filter("kind = 'node'").withColumn("type", kind).filter(F.col("type").isNotNull()).select("name", "type", "lineno", "file", "docstring", "source")
+
+
+def edges(table: DataFrame) -> DataFrame:
+    """(src, dst, type, file, seq): all edges with the file and the place they come from, repeated ones too."""
+    of = lambda kind: table.filter((F.col("kind") == "node") & (F.col("type") == kind))
+    owner = lambda kind: of(kind).select("doc", F.col("pre").alias("o_pre"), F.col("depth").alias("o_depth"), F.col("name").alias("src"))
+    inside = lambda kind: of(kind).select("doc", F.col("parent_pre").alias("o_pre"), F.col("pre").alias("parent_pre"))
+
+    def between(rows: DataFrame, kind: str, rank: int) -> DataFrame:
+        seq = F.struct("o_depth", "o_pre", F.lit(rank).alias("rank"), "depth", "pre")
+        return rows.select("src", F.col("name").alias("dst"), F.lit(kind).alias("type"), "file", seq.alias("seq"))
+
+    calls = of("call").filter(F.col("name").isNotNull()).select("doc", "file", "name", "depth", "pre", F.explode("callers").alias("o_pre"))
+    through = lambda kind, by: of(kind).select("doc", "file", "name", "depth", "pre", "parent_pre").join(inside(by), ["doc", "parent_pre"]).join(owner("class_definition"), ["doc", "o_pre"])
+    called = between(calls.join(owner("function_definition"), ["doc", "o_pre"]), "calls", 0)
+    return called.unionByName(between(through("identifier", "argument_list"), "inherits", 0)).unionByName(between(through("function_definition", "block"), "defines_method", 1))
 
 
 def upsert_edges(all_edges: DataFrame) -> DataFrame:

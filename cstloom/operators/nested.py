@@ -21,7 +21,7 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from json.decoder import scanstring
 
 import numpy as np
@@ -33,8 +33,10 @@ NODE_SCHEMA = (
     "file_id bigint, pre bigint, post bigint, last bigint, parent_pre bigint, depth int, ord int, type string, text string, "
     "start_byte bigint, end_byte bigint, start_row bigint, start_col bigint, end_row bigint, end_col bigint, is_named boolean"
 )
-_ARROW = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string(), "boolean": pa.bool_()}
-_TYPES = dict(x.split() for x in NODE_SCHEMA.split(", "))
+#: Columns that only some operators ask for: the levels below a node, and the nodes of given types whose intervals hold it, itself included, outermost first.
+MORE_COLUMNS = "height int, units array<bigint>"
+_ARROW = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string(), "boolean": pa.bool_(), "array<bigint>": pa.list_(pa.int64())}
+_TYPES = dict(x.split() for x in f"{NODE_SCHEMA}, {MORE_COLUMNS}".split(", "))
 _NUMBER = re.compile(r"-?\d+(?:\.\d+)?(?:[eE][-+]?\d+)?")
 _SPACE = re.compile(r"[ \t\r\n]*")
 _WORDS = {"true": True, "false": False, "null": None}
@@ -164,7 +166,7 @@ def innermost(last: np.ndarray) -> np.ndarray:
     return np.where(depth > 0, order[np.maximum(at, 0)], -1)
 
 
-def _labelled(root: dict, columns: list[str]) -> dict[str, list]:
+def _labelled(root: dict, columns: list[str], unit_types: frozenset[str] = frozenset()) -> dict[str, list]:
     nodes, parents, depths, ords = walk(root)
     n = len(nodes)
     size = [1] * n
@@ -172,6 +174,15 @@ def _labelled(root: dict, columns: list[str]) -> dict[str, list]:
         size[parents[i]] += size[i]
     last = [i + s - 1 for i, s in enumerate(size)]
     out: dict[str, list] = {"pre": list(range(n)), "last": last, "post": [x - d for x, d in zip(last, depths)], "depth": depths, "ord": ords}
+    if "height" in columns:
+        out["height"] = [0] * n
+        for i in range(n - 1, 0, -1):
+            out["height"][parents[i]] = max(out["height"][parents[i]], out["height"][i] + 1)
+    if "units" in columns:
+        out["units"] = []
+        for i, node in enumerate(nodes):
+            around = out["units"][parents[i]] if i else []
+            out["units"].append([*around, i] if node.get("type") in unit_types else around)
     if "parent_pre" in columns:
         out["parent_pre"] = [None if p < 0 else p for p in innermost(np.array(last)).tolist()]
     for c in ("type", "text"):
@@ -204,8 +215,9 @@ def _rows(keys: list[str], types: list[str], records: list[tuple], parts: list[p
     return pa.RecordBatch.from_arrays([*columns, nodes], names=[*keys, "nodes"])
 
 
-def valid_trees(records: DataFrame, columns: list[str]) -> DataFrame:
+def valid_trees(records: DataFrame, columns: list[str], unit_types: Iterable[str] = ()) -> DataFrame:
     """(file_id, nodes): the labelled nodes of the readable record with the greatest written_at of every file."""
+    types_of_units = frozenset(unit_types)
     kind = pa.struct([(c, _ARROW[_TYPES[c]]) for c in columns])
     keys, types = ["file_id", "written_at", "tie"], [pa.int64(), pa.timestamp("us", "UTC"), pa.int64()]
 
@@ -216,7 +228,7 @@ def valid_trees(records: DataFrame, columns: list[str]) -> DataFrame:
                 root = load_root(text.as_py())
                 if root is None:
                     continue
-                nodes = _labelled(root, columns)
+                nodes = _labelled(root, columns, types_of_units)
                 held.append((file_id.as_py(), written_at.as_py(), tie.as_py()))
                 parts.append(pa.StructArray.from_arrays([_column(nodes[c], kind.field(c).type) for c in columns], fields=list(kind)))
                 sizes.append(len(parts[-1]))
@@ -247,11 +259,11 @@ def valid_records(records: DataFrame) -> DataFrame:
     return few.mapInArrow(run, few.schema).groupBy("file_id").agg(F.max_by("cst_json", F.struct("written_at", "tie")).alias("cst_json"))
 
 
-def flatten_trees(records: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """One row per node of every file's valid record, with the columns asked for (see NODE_SCHEMA)."""
-    names = list(columns or _TYPES)
+def flatten_trees(records: DataFrame, columns: list[str] | None = None, unit_types: Iterable[str] = ()) -> DataFrame:
+    """One row per node of every file's valid record, with the columns asked for (see NODE_SCHEMA and MORE_COLUMNS)."""
+    names = list(columns or [x.split()[0] for x in NODE_SCHEMA.split(", ")])
     inner = [c for c in names if c != "file_id"]
-    return valid_trees(records, inner).select("file_id", F.inline("nodes")).select(*names)
+    return valid_trees(records, inner, unit_types).select("file_id", F.inline("nodes")).select(*names)
 
 
 def child_links(records: DataFrame) -> DataFrame:

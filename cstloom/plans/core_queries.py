@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from cstloom.functions import metadata as md
 from cstloom.functions import text as tx
+from cstloom.functions.words import SEMANTIC_TYPES
 from cstloom.operators import chunking, code_graph, collection, nested, vectors, vocabulary
 from cstloom.plans.nested_queries import QUERIES as NESTED
-from cstloom.session import read_table, spread
+from cstloom.session import read_table
 from cstloom.sources import files
 
 
@@ -17,7 +18,12 @@ def _t(name: str):
     return lambda spark, d: read_table(spark, d, name)
 
 
-documents, chunks, embeddings, scans = _t("documents"), _t("chunks"), _t("embeddings"), _t("parse_results")
+documents, embeddings, scans = _t("documents"), _t("embeddings"), _t("parse_results")
+
+
+def chunks(spark: SparkSession, d: str) -> DataFrame:
+    """The chunks, those delivered again once; a later delivery differs in nothing but its time."""
+    return read_table(spark, d, "chunks").drop("loaded_at").dropDuplicates(["chunk_no"])
 
 
 def vector_topk(spark: SparkSession, d: str) -> DataFrame:
@@ -103,15 +109,16 @@ def vocab_frequency(spark: SparkSession, d: str) -> DataFrame:
 
 
 def vocab_containment(spark: SparkSession, d: str) -> DataFrame:
+    """The terms of the whole vocabulary that occur in each document."""
     docs = documents(spark, d)
-    terms = [r.term for r in vocabulary.tfidf_vocabulary(docs, most=50).orderBy("term").collect()]
+    terms = sorted(vocabulary.vocabulary(docs))
     return vocabulary.contained_terms(docs, terms).select("doc_id", F.array_join("terms", "|").alias("terms"))
 
 
 def keyword_scores_top10(spark: SparkSession, d: str) -> DataFrame:
     docs = documents(spark, d)
-    ranked = tx.keywords("text", vocabulary.vocabulary(docs))
-    return spread(docs.select("doc_id", "text")).select("doc_id", F.posexplode(ranked).alias("at", "k")).select("doc_id", (F.col("at") + 1).alias("rank"), F.col("k.keyword").alias("keyword"), F.round("k.score", 6).alias("score"))
+    ranked = tx.with_keywords(docs.select("doc_id", "text"), "text", vocabulary.vocabulary(docs))
+    return ranked.select("doc_id", F.posexplode("keywords").alias("at", "k")).select("doc_id", (F.col("at") + 1).alias("rank"), F.col("k.keyword").alias("keyword"), F.round("k.score", 6).alias("score"))
 
 
 def truncate_text(spark: SparkSession, d: str) -> DataFrame:
@@ -141,7 +148,8 @@ def chunk_ids(spark: SparkSession, d: str) -> DataFrame:
 
 
 def dedupe_ids(spark: SparkSession, d: str) -> DataFrame:
-    rows = chunks(spark, d).select("id", "filepath", "text", "chunk_no", "loaded_at")
+    """Repeated ids repaired; here each delivery of a chunk is a row of its own, as those are what repeats."""
+    rows = read_table(spark, d, "chunks").select("id", "filepath", "text", "chunk_no", "loaded_at")
     return chunking.unique_ids(rows, ["chunk_no", "loaded_at"]).select("chunk_no", "id")
 
 
@@ -163,18 +171,21 @@ def unsupported_files(spark: SparkSession, d: str) -> DataFrame:
     return paths.join(F.broadcast(files.language_table(spark)), "extension", "left_anti").select("filepath", "extension")
 
 
-def _nodes(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+def _trees(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     trees = read_table(spark, d, "cst_documents")
-    return nested.flatten_trees(trees), trees.filter(F.col("file_id").isNotNull()).groupBy("file_id").agg(F.max("filepath").alias("filepath"), F.max("language").alias("language"))
+    return trees, trees.filter(F.col("file_id").isNotNull()).groupBy("file_id").agg(F.max("filepath").alias("filepath"), F.max("language").alias("language"))
 
 
 def subtree_complexity(spark: SparkSession, d: str) -> DataFrame:
-    return chunking.complexity(_nodes(spark, d)[0])
+    nodes = nested.flatten_trees(_trees(spark, d)[0], ["file_id", "pre", "last", "type", "height"])
+    return chunking.complexity(nodes.filter(F.col("type").isin(*SEMANTIC_TYPES)))
 
 
 def tree_chunks(spark: SparkSession, d: str) -> DataFrame:
-    """Chunks of all trees: names, parents, dependencies, complexity, summaries and repaired ids."""
-    return chunking.chunks_of(*_nodes(spark, d))
+    """Chunks of all trees: names, parents, dependencies, complexity, keywords, summaries and repaired ids."""
+    trees, paths = _trees(spark, d)
+    nodes = chunking.tree_nodes(trees)
+    return chunking.chunks_of(nodes, paths, chunking.corpus_vocabulary(nodes))
 
 
 def _python_facts(spark: SparkSession, d: str) -> DataFrame:
@@ -198,7 +209,7 @@ def graph_edge_upsert(spark: SparkSession, d: str) -> DataFrame:
 
 def embed_chunks(spark: SparkSession, d: str) -> DataFrame:
     """Chunks as rows of a collection, embedded by the default embedder; rejects left out."""
-    good, _ = collection.split_rejects(collection.prepare(spread(chunks(spark, d)).dropDuplicates(["chunk_no"])))
+    good, _ = collection.split_rejects(collection.prepare(chunks(spark, d)))
     return good.select("id", F.size("embedding").alias("dimension"), "document", "language", "chunk_type")
 
 

@@ -2,7 +2,16 @@
 
 from __future__ import annotations
 
-from cstloom.functions.words import EXCLUDED_PATHS, EXTENSION_LANGUAGES, STOPWORDS
+# Fixed values, stated here on their own so that they also check the engine's lists.
+STOPWORDS = (
+    "a abstract all an and any are as assert async at await be been bool break but by can catch class const constructor continue could def default del dict "
+    "did do does else enum enumerate exec export extends false filter finally float for from function global had has have he her him i if import in "
+    "instanceof int interface is it lambda len let list map max may me might min module must namespace new nonlocal null of on or pass print private "
+    "protected prototype public range reduce return set she should static str sum super that the them these they this those to true try tuple typeof "
+    "undefined us var was we were while will with would yield you zip "
+).split()
+EXTENSION_LANGUAGES = dict([(".py", "python"), (".js", "javascript"), (".jsx", "javascript"), (".mjs", "javascript"), (".rs", "rust"), (".go", "go"), (".cpp", "cpp"), (".cc", "cpp"), (".cxx", "cpp"), (".c++", "cpp"), (".c", "c"), (".h", "c"), (".hpp", "cpp"), (".hxx", "cpp"), (".java", "java"), (".cs", "csharp"), (".ts", "typescript"), (".tsx", "tsx")])
+EXCLUDED_PATHS = ['.git', '.svn', '__pycache__', 'node_modules', 'target', 'build', 'dist', '.next', '.terraform']
 
 _STOP = ", ".join(f"'{w}'" for w in STOPWORDS)
 _SPACE = r" \t\n\r\f\x0B\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
@@ -70,10 +79,10 @@ SELECT query_id, vec_id, round(d, 6) AS distance, rank FROM (
 ) WHERE rank <= 5""",
     "collection_stats": "SELECT count(*) AS vectors, min(len(embedding))::INTEGER AS least_dimension, max(len(embedding))::INTEGER AS dimension FROM embeddings",
     "sample_group_counts": "SELECT coalesce(lang, 'unknown') AS lang, count(*) AS n FROM (SELECT * FROM documents ORDER BY doc_id LIMIT 100) GROUP BY 1",
-    "language_counts": "SELECT language, count(*) AS n FROM chunks GROUP BY language",
-    "type_counts": "SELECT chunk_type, count(*) AS n FROM chunks GROUP BY chunk_type",
+    "language_counts": "SELECT language, count(*) AS n FROM (SELECT DISTINCT ON (chunk_no) * FROM chunks) GROUP BY language",
+    "type_counts": "SELECT chunk_type, count(*) AS n FROM (SELECT DISTINCT ON (chunk_no) * FROM chunks) GROUP BY chunk_type",
     "parse_outcomes": "SELECT count(*) FILTER (WHERE success) AS successes, count(*) FILTER (WHERE NOT success) AS failures, count(*) FILTER (WHERE success IS NULL) AS unknown FROM parse_results",
-    "top_keywords": "SELECT keyword, count(*) AS n FROM (SELECT unnest(keywords) AS keyword FROM chunks) GROUP BY keyword ORDER BY n DESC, keyword LIMIT 10",
+    "top_keywords": "SELECT keyword, count(*) AS n FROM (SELECT unnest(keywords) AS keyword FROM (SELECT DISTINCT ON (chunk_no) * FROM chunks)) GROUP BY keyword ORDER BY n DESC, keyword LIMIT 10",
     "load_summary": "SELECT count(*) AS total, count(*) FILTER (WHERE len(embedding) = 64) AS loaded, count(*) - count(*) FILTER (WHERE len(embedding) = 64) AS failed, round(100.0 * count(*) FILTER (WHERE len(embedding) = 64) / count(*), 6) AS loaded_percent FROM chunk_vectors",
     "clean_text": f"SELECT doc_id, {_clean('text')} AS cleaned FROM documents",
     "tokenize": f"SELECT doc_id, len(t) AS n_tokens, array_to_string(t, ' ') AS tokens FROM (SELECT doc_id, {_words('text', _TOKEN)} AS t FROM documents)",
@@ -90,14 +99,14 @@ WITH {_CLEANED}, words AS (SELECT unnest({_words('t', _TOKEN)}) AS term FROM kep
 top AS (SELECT term, count(*) AS tf FROM words WHERE {_VALID.format('term')} GROUP BY term ORDER BY tf DESC, term LIMIT 2000)
 SELECT term, tf FROM top WHERE tf > 1 AND tf < 0.8 * (SELECT count(*) FROM kept) ORDER BY tf DESC, term LIMIT 1000""",
     "vocab_containment": f"""
-WITH {_TERMS.replace("@MOST", "50")}, vocab AS (SELECT list(term ORDER BY term) AS v FROM top WHERE {_ALL_VALID})
+WITH {_TERMS.replace("@MOST", "1000")}, vocab AS (SELECT list(term ORDER BY term) AS v FROM top WHERE {_ALL_VALID})
 SELECT doc_id, array_to_string(list_filter(v, lambda x: contains(lower(coalesce(text, '')), x)), '|') AS terms FROM documents, vocab""",
     "truncate_text": "SELECT doc_id, CASE WHEN length(text) > 1000 THEN substring(text, 1, 997) || '...' ELSE text END AS cut FROM documents",
-    "enhanced_text": f"SELECT chunk_no, {_ENHANCED} AS document FROM chunks",
-    "extract_code": f"SELECT chunk_no, substring(document, strpos(document, 'Code:' || chr(10)) + 6) AS code FROM (SELECT chunk_no, {_ENHANCED} AS document FROM chunks)",
-    "metadata_flatten": f"SELECT chunk_no, {_JOINED.format('keywords')} AS keywords, {_JOINED.format('dependencies')} AS dependencies, CASE WHEN trim(docstring) <> '' THEN trim(docstring) END AS docstring FROM chunks",
-    "metadata_roundtrip": f"SELECT chunk_no, array_to_string({_AGAIN.format('k')}, ',') AS keywords, CASE WHEN k IS NULL THEN NULL ELSE len({_AGAIN.format('k')}) END AS n FROM (SELECT chunk_no, {_JOINED.format('keywords')} AS k FROM chunks)",
-    "chunk_ids": "SELECT chunk_no, concat_ws(':', filepath, chunk_type, name, line_start) || '_' || substring(md5(concat_ws(':', filepath, chunk_type, name, line_start, line_end)), 1, 8) AS made_id FROM chunks",
+    "enhanced_text": f"SELECT chunk_no, {_ENHANCED} AS document FROM (SELECT DISTINCT ON (chunk_no) * FROM chunks)",
+    "extract_code": f"SELECT chunk_no, substring(document, strpos(document, 'Code:' || chr(10)) + 6) AS code FROM (SELECT chunk_no, {_ENHANCED} AS document FROM (SELECT DISTINCT ON (chunk_no) * FROM chunks))",
+    "metadata_flatten": f"SELECT chunk_no, {_JOINED.format('keywords')} AS keywords, {_JOINED.format('dependencies')} AS dependencies, CASE WHEN trim(docstring) <> '' THEN trim(docstring) END AS docstring FROM (SELECT DISTINCT ON (chunk_no) * FROM chunks)",
+    "metadata_roundtrip": f"SELECT chunk_no, array_to_string({_AGAIN.format('k')}, ',') AS keywords, CASE WHEN k IS NULL THEN NULL ELSE len({_AGAIN.format('k')}) END AS n FROM (SELECT chunk_no, {_JOINED.format('keywords')} AS k FROM (SELECT DISTINCT ON (chunk_no) * FROM chunks))",
+    "chunk_ids": "SELECT chunk_no, concat_ws(':', filepath, chunk_type, name, line_start) || '_' || substring(md5(concat_ws(':', filepath, chunk_type, name, line_start, line_end)), 1, 8) AS made_id FROM (SELECT DISTINCT ON (chunk_no) * FROM chunks)",
     "dedupe_ids": """
 WITH a AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY chunk_no, loaded_at) AS n FROM chunks),
 b AS (SELECT chunk_no, loaded_at, CASE WHEN n = 1 THEN id ELSE id || '_' || substring(md5(filepath || ':' || substring(coalesce(text, ''), 1, 100)), 1, 8) END AS id2 FROM a),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,6 +20,7 @@ def local_session(cores: str = "8", memory: str = "8g") -> SparkSession:
         .config("spark.driver.memory", memory)
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .getOrCreate()
     )
@@ -27,26 +30,23 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: Tables larger than this are left in the partitions of their files.
-SPREAD_BYTES = 64 << 20
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """A small table of few files over all cores, before Python stages that cost far more than moving it."""
-    files, cores = len(df.inputFiles()), df.sparkSession.sparkContext.defaultParallelism
-    if not files or 2 * files > cores:
-        return df
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(cores) if size <= SPREAD_BYTES else df
-
-
 def reliable(df: DataFrame) -> DataFrame:
-    """Cut lineage through a reliable checkpoint.
+    """Cut lineage through a reliable checkpoint in the shared folder that ``spark.checkpoint.dir`` names.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``; only a
-    session without that setting (tests) gets a local folder.
+    A session without a folder gets one only if all its executors run on the
+    driver's machine, as in tests; on a cluster the setting is required.
     """
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="cstloom-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+        if not folder and not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(folder or _own_folder())
     return df.checkpoint(eager=True)
+
+
+def _own_folder() -> str:
+    """A folder for sessions on one machine, removed when the process ends."""
+    folder = tempfile.mkdtemp(prefix="cstloom-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder

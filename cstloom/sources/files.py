@@ -13,8 +13,10 @@ files become rows with success = false and an error, never a failed task.
 from __future__ import annotations
 
 import ast
+import bisect
 import importlib
 import os
+import re
 import time
 from collections.abc import Callable, Iterator
 
@@ -107,44 +109,112 @@ def register_parser(language: str, parser: Parser) -> None:
     _PARSERS[language] = parser
 
 
+#: Node types that differ from the names of Python's own syntax tree in lower case.
+PYTHON_TYPES = {
+    "FunctionDef": "function_definition", "AsyncFunctionDef": "async_function_definition", "ClassDef": "class_definition", "Import": "import_statement", "ImportFrom": "import_from_statement", "Expr": "expression_statement",
+    "Name": "identifier", "arg": "identifier", "arguments": "parameters", "keyword": "keyword_argument", "Return": "return_statement", "If": "if_statement", "For": "for_statement", "While": "while_statement", "Try": "try_statement",
+    "With": "with_statement", "Raise": "raise_statement", "Assert": "assert_statement", "Delete": "delete_statement", "Pass": "pass_statement", "Assign": "assignment", "AugAssign": "augmented_assignment", "BinOp": "binary_operator",
+    "BoolOp": "boolean_operator", "UnaryOp": "unary_operator", "Compare": "comparison_operator", "Lambda": "lambda", "Dict": "dictionary", "ListComp": "list_comprehension",
+}
+_DEFINED = re.compile(rb"\s*(?:async\s+def|def|class)\s+([^\s(:\[]+)")
+
+
+def _python_type(node: ast.AST) -> str:
+    if isinstance(node, ast.Constant):
+        return {str: "string", bytes: "string", int: "integer", float: "float", bool: "true", type(None): "none"}.get(type(node.value), "constant")
+    name = type(node).__name__
+    return PYTHON_TYPES.get(name) or re.sub(r"(?<=[a-z])(?=[A-Z])", "_", name).lower()
+
+
 def python_tree(text: str, path: str = "") -> dict:
-    """A nested root node of a Python text from the ast module: statements and expressions with their offsets."""
-    lines = text.splitlines(keepends=True) or [""]
+    """A nested root node of a Python text, in the node types of the grammars that chunks are made of.
+
+    The names of definitions and attributes are identifiers, bases and arguments
+    stand in an argument list, and the statements of a body in a block.  Besides
+    the fields of a node, definitions, calls and identifiers carry ``name``, and
+    definitions their cleaned ``docstring``.
+    """
+    raw = text.encode()
+    lines = text.split("\n")
     starts = [0]
     for line in lines:
-        starts.append(starts[-1] + len(line.encode()))
-    raw = text.encode()
-
-    def convert(node: ast.AST) -> dict:
-        a = (node.lineno - 1, node.col_offset) if hasattr(node, "lineno") else (0, 0)
-        b = (node.end_lineno - 1, node.end_col_offset) if hasattr(node, "end_lineno") and node.end_lineno else (len(lines) - 1, len(lines[-1].encode()))
-        s, e = starts[a[0]] + a[1], starts[b[0]] + b[1]
-        return {"type": type(node).__name__, "text": raw[s:e].decode("utf-8", "replace"), "start_byte": s, "end_byte": e, "start_point": list(a), "end_point": list(b), "is_named": True, "children": []}
-
-    root = convert(module := ast.parse(text, path or "<text>"))
-    todo = [(module, root)]
+        starts.append(starts[-1] + len(line.encode()) + 1)
+
+    def point(at: int) -> list[int]:
+        row = bisect.bisect_right(starts, at, 0, len(lines)) - 1
+        return [row, at - starts[row]]
+
+    def made(kind: str, a: int, b: int, **more) -> dict:
+        return {"type": kind, "text": raw[a:b].decode("utf-8", "replace"), "start_byte": a, "end_byte": b, "start_point": point(a), "end_point": point(b), "is_named": True, "children": [], **more}
+
+    def span(node: ast.AST) -> tuple[int, int] | None:
+        return (starts[node.lineno - 1] + node.col_offset, starts[node.end_lineno - 1] + node.end_col_offset) if hasattr(node, "lineno") else None
+
+    def group(kind: str, nodes: list[ast.AST]) -> list[tuple[dict, list]]:
+        """A node around others that stand side by side, and what goes below it."""
+        spans = [s for n in nodes if (s := span(n))]
+        return [(made(kind, spans[0][0], spans[-1][1]), nodes)] if spans else []
+
+    def below(node: ast.AST, a: int, b: int) -> list:
+        """The children of a node: syntax nodes, or pairs of a made node and its children."""
+        out: list = []
+        if isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)):
+            m = _DEFINED.match(raw, a)
+            out.append((made("identifier", *m.span(1), name=node.name), []) if m else (made("identifier", a, a, name=node.name), []))
+        for field, value in ast.iter_fields(node):
+            some = [x for x in (value if isinstance(value, list) else [value]) if isinstance(x, ast.AST) and not isinstance(x, (ast.expr_context, ast.operator, ast.boolop, ast.cmpop, ast.unaryop))]
+            if isinstance(value, list) and field in ("body", "orelse", "finalbody") and not isinstance(node, ast.Module):
+                out += group("block", some)
+            elif field == "bases" or isinstance(node, ast.Call) and field == "args":
+                out += group("argument_list", some)
+            else:
+                out += some
+        if isinstance(node, ast.Attribute):
+            end = len(node.attr.encode())
+            out.append((made("identifier", b - end, b, name=node.attr), []))
+        return out
+
+    module = ast.parse(text, path or "<text>")
+    root = made("module", 0, len(raw))
+    todo: list[tuple[dict, list]] = [(root, below(module, 0, len(raw)))]
     while todo:
-        node, made = todo.pop()
-        for child in ast.iter_child_nodes(node):
-            if isinstance(child, (ast.expr_context, ast.operator, ast.boolop, ast.cmpop, ast.unaryop)):
-                continue
-            one = convert(child)
-            made["children"].append(one)
-            todo.append((child, one))
+        parent, children = todo.pop()
+        inside = parent["start_byte"]
+        for child in children:
+            if isinstance(child, tuple):
+                one, rest = child
+            else:
+                a, b = span(child) or (inside, inside)
+                more: dict = {}
+                if isinstance(child, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)):
+                    more = {"name": child.name, "docstring": ast.get_docstring(child)}
+                elif isinstance(child, (ast.Name, ast.Attribute, ast.arg)):
+                    more = {"name": child.id if isinstance(child, ast.Name) else child.attr if isinstance(child, ast.Attribute) else child.arg}
+                elif isinstance(child, ast.Call):
+                    more = {"name": getattr(child.func, "id", getattr(child.func, "attr", None))}
+                one, rest = made(_python_type(child), a, b, **more), below(child, a, b)
+            parent["children"].append(one)
+            todo.append((one, rest))
     return root
 
 
+#: Packages of grammars that aren't called after their language; C is read by the grammar of C++.
+GRAMMARS = {"csharp": "c_sharp", "tsx": "typescript", "c": "cpp"}
+
+
 def _parser_of(language: str, given: dict[str, Parser]) -> Parser | None:
     if language in given:
         return given[language]
     if language == "python":
         return python_tree
     try:
-        grammar = importlib.import_module(f"tree_sitter_{'c_sharp' if language == 'csharp' else language}")
+        grammar = importlib.import_module(f"tree_sitter_{GRAMMARS.get(language, language)}")
         ts = importlib.import_module("tree_sitter")
     except ImportError:
         return None
-    parser = ts.Parser(ts.Language(grammar.language()))
+    # the package of TypeScript holds two grammars under names of their own
+    language_of = getattr(grammar, "language", None) or getattr(grammar, f"language_{language}")
+    parser = ts.Parser(ts.Language(language_of()))
 
     def run(text: str, path: str) -> dict:
         raw = text.encode()

@@ -64,9 +64,27 @@ def test_graph(spark, tmp_path):
 
 
 def test_own_sources_make_chunks(spark):
-    root = os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(__file__))), "cstloom", "functions")
+    root = os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(__file__))), "cstloom", "operators")
     parsed = files.parse_codebase(spark, root, match="segment").filter("success").selectExpr("*", "xxhash64(filepath) as file_id", "cast(null as timestamp) as written_at")
-    assert chunking.chunks_of(nested.flatten_trees(parsed), parsed.select("file_id", "filepath", "language")).filter("chunk_type = 'file'").count() >= 3
+    nodes = chunking.tree_nodes(parsed)
+    made = chunking.chunks_of(nodes, parsed.select("file_id", "filepath", "language"), chunking.corpus_vocabulary(nodes)).collect()
+    assert len([r for r in made if r.chunk_type == "file"]) >= 6
+    by_name = {(r.chunk_type, r.name): r for r in made}
+    assert ("function_definition", "flatten_trees") in by_name and by_name["function_definition", "write_graphml"].dependencies
+    assert all(r.keywords for r in made if r.text.strip() and r.chunk_type != "file")
+    assert len({r.id for r in made}) == len(made) and max(r.complexity_score for r in made) == 10
+
+
+def test_python_trees_have_the_types_of_the_grammars():
+    root = files.python_tree(CODE)
+    nodes = nested.walk(root)[0]
+    named = {(n["type"], n["children"][0]["text"]) for n in nodes if n["type"].endswith("_definition")}
+    assert named == {("class_definition", "A"), ("function_definition", "run"), ("function_definition", "inner"), ("async_function_definition", "later")}
+    raw = CODE.encode()
+    assert all(n["text"] == raw[n["start_byte"] : n["end_byte"]].decode() for n in nodes)
+    lines = CODE.split("\n")
+    assert all(sum(len(x) + 1 for x in lines[: n["start_point"][0]]) + n["start_point"][1] == n["start_byte"] for n in nodes)
+    assert files.python_tree("")["children"] == [] and files.python_tree("x = 'é '\ndef g(): pass")["children"][1]["text"] == "def g(): pass"
 
 
 def test_stream(spark, tmp_path):
