@@ -3,43 +3,52 @@
 from __future__ import annotations
 
 import argparse
+import time
 
 from pyspark.sql import functions as F
 
-from cstloom.operators import chunking, code_graph, collection, nested, vectors
-from cstloom.session import local_session
+from cstloom.operators import chunking, code_graph, collection, vectors
+from cstloom.session import local_session, reliable
 from cstloom.sources import files
 
 
 def _parse(spark, a) -> None:
-    parsed = files.parse_codebase(spark, a.input, recursive=not a.flat)
+    parsed = files.parse_codebase(spark, a.input, recursive=not a.flat, most_bytes=a.max_bytes)
     parsed.write.mode("overwrite").parquet(a.output) if a.output else parsed.drop("text", "cst_json").show(truncate=False)
 
 
 def _chunk(spark, a) -> None:
     parsed = spark.read.parquet(a.input).filter("success").withColumn("file_id", F.xxhash64("filepath")).withColumn("written_at", F.lit(None).cast("timestamp"))
-    nodes = nested.flatten_trees(parsed)
-    collection.write_chunks(chunking.chunks_of(nodes, parsed.select("file_id", "filepath", "language")), a.output, a.input)
+    nodes = chunking.tree_nodes(parsed)
+    made = chunking.chunks_of(nodes, parsed.select("file_id", "filepath", "language"), chunking.corpus_vocabulary(nodes))
+    collection.write_chunks(made.drop("file_id"), a.output, a.input)
 
 
 def _load(spark, a) -> None:
-    chunk = spark.read.json(f"{a.input}/chunks")
-    for name, kind in (("keywords", "array<string>"), ("parent_name", "string"), ("docstring", "string"), ("complexity_score", "double")):
-        if name not in chunk.columns:
-            chunk = chunk.withColumn(name, F.lit(None).cast(kind))
-    good, bad = collection.split_rejects(collection.prepare(chunk))
+    began = time.time()
+    chunk = collection.read_chunks(spark, a.input, documents=a.documents)
+    rows = reliable(collection.prepare(chunk))
+    good, bad = collection.split_rejects(rows)
     collection.write(good, a.db_path, a.model)
     bad.write.mode("overwrite").parquet(f"{a.db_path}/rejects")
+    vectors.load_summary(rows.join(bad.select("id", F.lit(True).alias("bad")), "id", "left"), F.col("bad").isNull(), time.time() - began).show()
+
+
+def _shown(hits, a) -> None:
+    if a.brief:
+        collection.displayed_briefly(hits).show(truncate=False)
+    else:
+        collection.displayed(hits, 1_000_000 if a.show_full else a.lines).show(truncate=False)
 
 
 def _search(spark, a) -> None:
     rows = collection.open_collection(spark, a.db_path, a.model)
     if a.query is not None:
-        collection.displayed(collection.search(rows, a.query, a.k, a.language, a.type)).show(truncate=False)
+        _shown(collection.search(rows, a.query, a.k, a.language, a.type), a)
         return
     while (line := input("> ").strip()) not in ("", "quit", "exit"):
         query, language, kind = vectors.parse_query(line)
-        collection.displayed(collection.search(rows, query, a.k, language, kind)).show(truncate=False)
+        _shown(collection.search(rows, query, a.k, language, kind), a)
 
 
 def _stats(spark, a) -> None:
@@ -47,6 +56,9 @@ def _stats(spark, a) -> None:
     vectors.collection_stats(rows).show()
     for group in ("language", "chunk_type"):
         vectors.sample_counts(rows, group, "id").orderBy(F.col("n").desc(), group).show()
+    began = time.time()
+    found = collection.search(rows, "function", 1).count()
+    print(f"test query: {found} result(s) in {time.time() - began:.3f} s")
 
 
 def _graph(spark, a) -> None:
@@ -59,18 +71,25 @@ def _graph(spark, a) -> None:
 
 def main(argv: list[str] | None = None) -> None:
     p = argparse.ArgumentParser(prog="cstloom")
+    p.add_argument("--workers", default="8", help="cores of the local session")
     sub = p.add_subparsers(required=True)
-    for name, run, options in (
-        ("parse", _parse, ["input", "--output", "--flat"]), ("chunk", _chunk, ["input", "output"]), ("load", _load, ["input", "--model", "--db-path"]),
-        ("search", _search, ["--query", "--k", "--language", "--type", "--model", "--db-path"]), ("stats", _stats, ["--model", "--db-path"]), ("graph", _graph, ["input", "output"]),
-    ):
+    db = [("--model", {"default": "hashing"}), ("--db-path", {"default": "vectors"})]
+    flag = {"action": "store_true"}
+    commands = {
+        "parse": (_parse, [("input", {}), ("--output", {}), ("--flat", flag), ("--max-bytes", {"type": int, "default": files.MOST_BYTES})]),
+        "chunk": (_chunk, [("input", {}), ("output", {})]),
+        "load": (_load, [("input", {}), ("--documents", flag), *db]),
+        "search": (_search, [("--query", {}), ("--k", {"type": int, "default": 5}), ("--language", {}), ("--type", {}), ("--lines", {"type": int, "default": 10}), ("--show-full", flag), ("--brief", flag), *db]),
+        "stats": (_stats, db),
+        "graph": (_graph, [("input", {}), ("output", {})]),
+    }
+    for name, (run, options) in commands.items():
         s = sub.add_parser(name)
-        for o in options:
-            s.add_argument(o, **({"action": "store_true"} if o == "--flat" else {"type": int, "default": 5} if o == "--k" else {"default": "hashing"} if o == "--model" else {"default": "vectors"} if o == "--db-path" else {}))
+        for option, how in options:
+            s.add_argument(option, **how)
         s.set_defaults(run=run)
     a = p.parse_args(argv)
-    a.run(local_session(), a)
-
+    a.run(local_session(a.workers), a)
 
 
 if __name__ == "__main__":

@@ -16,8 +16,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Query vectors sent to the executors at once (64 dimensions: 4 MB); more are worked off in blocks.
-QUERY_BLOCK = 8_192
+from cstloom.session import reliable
+
+#: Query vectors of a block and rows of a part of the collection; every block meets every part (64 dimensions: 4 MB and 16 MB).
+QUERY_BLOCK, PART_ROWS = 8_192, 32_768
 #: Entries of a matrix of distances, and differences of vectors, held at once.
 MATRIX, DIFFERENCES = 1 << 23, 1 << 22
 
@@ -50,13 +52,17 @@ def parse_query(line: str) -> tuple[str, str | None, str | None]:
     return line.strip(), None, None
 
 
-def top_k(collection: DataFrame, query: list[float], k: int = 10, key: str = "vec_id", vector: str = "embedding", metric: str = "l2", where: Column | None = None) -> DataFrame:
-    """(key, distance, similarity, rank) of the k nearest rows; the filter comes first."""
+def vector_of(collection: DataFrame, where: Column, vector: str = "embedding") -> Column:
+    """The vector of one row of a collection, as a scalar that is looked up within the query that uses it."""
+    return collection.filter(where).agg(F.first(vector)).scalar()
+
+
+def top_k(collection: DataFrame, query: list[float] | Column, k: int = 10, key: str = "vec_id", vector: str = "embedding", metric: str = "l2", where: Column | None = None, carry: list[str] | None = None) -> DataFrame:
+    """(key, distance, *carry, similarity, rank) of the k nearest rows; the filter comes first."""
     rows = collection if where is None else collection.filter(where)
-    q = F.array(*[F.lit(float(x)) for x in query])
-    rows = rows.filter(F.size(vector) == len(query))
-    d = (squared_l2 if metric == "l2" else cosine_distance)(F.col(vector), q)
-    near = rows.select(key, d.alias("distance")).orderBy("distance", key).limit(k)
+    rows = rows.withColumn("_query", query if isinstance(query, Column) else F.array(*[F.lit(float(x)) for x in query]))
+    d = (squared_l2 if metric == "l2" else cosine_distance)(F.col(vector), F.col("_query"))
+    near = rows.filter(F.size(vector) == F.size("_query")).select(key, d.alias("distance"), *(carry or [])).orderBy("distance", key).limit(k)
     return near.withColumn("similarity", 1 - F.col("distance")).withColumn("rank", F.row_number().over(Window.orderBy("distance", key)))
 
 
@@ -99,32 +105,30 @@ def _nearest(q: np.ndarray, own: np.ndarray, x: np.ndarray, k: int) -> Iterator[
 def top_k_batch(collection: DataFrame, queries: DataFrame, k: int = 5, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(query_id, key, distance, similarity, rank) for every row (query_id, vector) of queries against the whole collection.
 
-    Query vectors go out in blocks of a fixed size; each batch of the collection
-    keeps its own k nearest of every query, so only these are shuffled.
+    Queries are cut into blocks and the collection into parts of bounded size;
+    each block meets each part in a task of its own, which keeps the k nearest of
+    every query, and these are merged.  Nothing passes through the driver.
     """
-    wanted = [(r[0], r[1]) for r in queries.filter(F.col(vector).isNotNull()).select("query_id", vector).toLocalIterator()]
-    spark = collection.sparkSession
-    out = None
-    for at in range(0, len(wanted), QUERY_BLOCK):
-        block = wanted[at : at + QUERY_BLOCK]
-        sent = spark.sparkContext.broadcast((np.array([i for i, _ in block], np.int64), np.array([v for _, v in block], np.float64)))
-
-        def run(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
-            ids, q = sent.value
-            for pdf in batches:
-                pdf = pdf[[v is not None and len(v) == q.shape[1] for v in pdf[vector]]]
-                if not len(pdf):
-                    continue
-                x, own = np.stack(pdf[vector]).astype(np.float64), pdf[key].to_numpy()
-                for part in _nearest(q, own, x, k):
-                    yield pd.DataFrame({"query_id": ids[part[0]], key: part[1], "distance": part[2]})
-
-        part = collection.select(key, vector).mapInPandas(run, f"query_id bigint, `{key}` bigint, distance double")
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        out = collection.sparkSession.createDataFrame([], f"query_id bigint, `{key}` bigint, distance double")
+    blocks, parts = (max(1, -(-df.count() // n)) for df, n in ((queries, QUERY_BLOCK), (collection, PART_ROWS)))
+    place = lambda n: F.monotonically_increasing_id() % n
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint")))
+    asked = queries.filter(F.col(vector).isNotNull()).select(F.col("query_id").cast("bigint").alias("query_id"), vector, place(blocks).alias("block")).select("*", every(parts).alias("part"))
+    held = collection.filter(F.col(vector).isNotNull()).select(F.col(key).cast("bigint").alias(key), vector, place(parts).alias("part")).select("*", every(blocks).alias("block"))
+    columns = ["query_id", key, "distance"]
+
+    def run(q: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
+        out = [pd.DataFrame({"query_id": np.zeros(0, np.int64), key: np.zeros(0, np.int64), "distance": np.zeros(0)})]
+        for dimension, same in q.groupby(q[vector].map(len)):
+            rows = x[x[vector].map(len) == dimension]
+            if len(rows) and dimension:
+                ids = same["query_id"].to_numpy()
+                for query, own, distance in _nearest(np.stack(same[vector]).astype(np.float64), rows[key].to_numpy(), np.stack(rows[vector]).astype(np.float64), k):
+                    out.append(pd.DataFrame({"query_id": ids[query], key: own, "distance": distance}))
+        return pd.concat(out)[columns]
+
+    met = asked.groupBy("block", "part").cogroup(held.groupBy("block", "part")).applyInPandas(run, f"query_id bigint, `{key}` bigint, distance double")
     w = Window.partitionBy("query_id").orderBy("distance", key)
-    return out.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).withColumn("similarity", 1 - F.col("distance"))
+    return met.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).withColumn("similarity", 1 - F.col("distance"))
 
 
 def collection_stats(collection: DataFrame, vector: str = "embedding") -> DataFrame:
@@ -143,9 +147,9 @@ def batch_numbers(rows: DataFrame, order: str, size: int = 100) -> DataFrame:
     Rows are ranked within ranges of the order and shifted by the sizes of the
     ranges before, so no task has to hold all rows.
     """
-    ranged = rows.repartitionByRange(order).withColumn("part", F.spark_partition_id())
+    ranged = reliable(rows.repartitionByRange(order).withColumn("part", F.spark_partition_id()))  # read twice, so the ranges are cut once
     sizes = ranged.groupBy("part").count()
-    before = sizes.alias("s").join(sizes.alias("t"), F.col("t.part") < F.col("s.part"), "left").groupBy(F.col("s.part").alias("part")).agg(F.coalesce(F.sum("t.count"), F.lit(0)).alias("before"))
+    before = sizes.select("part", F.coalesce(F.sum("count").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     ranked = ranged.withColumn("r", F.row_number().over(Window.partitionBy("part").orderBy(order)))
     return ranked.join(F.broadcast(before), "part").withColumn("batch", (F.floor((F.col("before") + F.col("r") - 1) / size) + 1).cast("bigint")).drop("part", "r", "before")
 

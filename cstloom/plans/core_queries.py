@@ -28,19 +28,19 @@ def chunks(spark: SparkSession, d: str) -> DataFrame:
 
 def vector_topk(spark: SparkSession, d: str) -> DataFrame:
     e = embeddings(spark, d)
-    query = e.filter("vec_id = 0").select("embedding").first()[0]
+    query = vectors.vector_of(e, F.col("vec_id") == 0)
     return vectors.top_k(e, query, 5).select("vec_id", F.round("distance", 6).alias("distance"), F.round("similarity", 6).alias("similarity"), "rank")
 
 
 def vector_topk_filtered(spark: SparkSession, d: str) -> DataFrame:
     e = embeddings(spark, d)
-    query = e.filter("vec_id = 0").select("embedding").first()[0]
+    query = vectors.vector_of(e, F.col("vec_id") == 0)
     return vectors.top_k(e, query, 5, where=F.col("label") == 3).select("vec_id", F.round("distance", 6).alias("distance"), "rank")
 
 
 def vector_topk_cosine(spark: SparkSession, d: str) -> DataFrame:
     e = embeddings(spark, d)
-    query = e.filter("vec_id = 0").select("embedding").first()[0]
+    query = vectors.vector_of(e, F.col("vec_id") == 0)
     return vectors.top_k(e, query, 5, metric="cosine").select("vec_id", F.round("distance", 6).alias("distance"), "rank")
 
 

@@ -9,6 +9,11 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Setting of a session, unset by default: partitions over which the tables of texts are spread when read, whatever their size.  Meant for one machine whose tables have fewer files than it has cores.
+READ_PARTITIONS = "spark.cstloom.readPartitions"
+TEXT_TABLES = {"documents", "chunks", "cst_documents"}
+
+
 def local_session(cores: str = "8", memory: str = "8g") -> SparkSession:
     """A local session for tests and the bench; clusters bring their own."""
     return (
@@ -20,6 +25,7 @@ def local_session(cores: str = "8", memory: str = "8g") -> SparkSession:
         .config("spark.driver.memory", memory)
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
+        .config(READ_PARTITIONS, cores)
         .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .getOrCreate()
@@ -27,7 +33,9 @@ def local_session(cores: str = "8", memory: str = "8g") -> SparkSession:
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    n = spark.conf.get(READ_PARTITIONS, None)
+    return rows.repartition(int(n)) if n and name in TEXT_TABLES else rows
 
 
 def reliable(df: DataFrame) -> DataFrame:

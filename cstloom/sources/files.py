@@ -75,9 +75,9 @@ def list_files(root: str, recursive: bool = True, most_bytes: int = MOST_BYTES)
     return sorted(out)
 
 
-def scan(spark: SparkSession, root: str, recursive: bool = True, match: str = "substring", extensions: list[str] | None = None) -> DataFrame:
+def scan(spark: SparkSession, root: str, recursive: bool = True, match: str = "substring", extensions: list[str] | None = None, most_bytes: int = MOST_BYTES) -> DataFrame:
     """(path, length, language) of the source files of a tree, in the order of their paths."""
-    listed = spark.createDataFrame(list_files(root, recursive), "path string, length bigint")
+    listed = spark.createDataFrame(list_files(root, recursive, most_bytes), "path string, length bigint")
     found = with_language(listed.filter(not_excluded(F.col("path"), match))).filter(F.col("language").isNotNull())
     if extensions is not None:
         found = found.filter(extension(F.col("path")).isin(*extensions))

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from cstloom.operators import collection
@@ -20,8 +21,7 @@ def ingest(spark: SparkSession, inbox: str, folder: str, model: str, checkpoint:
 
     def append(batch: DataFrame, number: int) -> None:
         good, _ = collection.split_rejects(collection.prepare(batch.dropDuplicates(["id"]), embedder))
-        target = f"{folder}/{collection.md.collection_name(model)}"
-        good.withColumn("batch", F.lit(number)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(target)
+        collection.write(good, folder, model, batch=number)
 
     writer = arrived.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="30 seconds")).start()

@@ -4,7 +4,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from cstloom.operators import chunking, code_graph, nested
+from cstloom.operators import chunking, code_graph, collection, nested
 from cstloom.sources import files
 from cstloom.streaming import ingest
 
@@ -95,3 +95,28 @@ def test_stream(spark, tmp_path):
     for _ in range(2):  # the second run finds nothing new
         ingest.ingest(spark, str(tmp_path / "in"), str(tmp_path / "out"), "m", str(tmp_path / "cp"), df.schema).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out" / "codebase_m")).count() == 5
+
+
+def test_load_then_ingest_then_open(spark, tmp_path):
+    rows = spark.createDataFrame([(f"c{i}", "a.go", "file", "go" if i % 2 else None, "n", None, 1, 1, "words of it", None, None, None, 0.5, None) for i in range(6)], collection.CHUNK)
+    db = str(tmp_path / "db")
+    collection.write(collection.split_rejects(collection.prepare(rows.filter("id < 'c4'")))[0], db, "m")
+    rows.filter("id >= 'c4'").write.parquet(str(tmp_path / "in"))
+    ingest.ingest(spark, str(tmp_path / "in"), db, "m", str(tmp_path / "cp"), rows.schema).awaitTermination()
+    held = collection.open_collection(spark, db, "m")
+    assert sorted(r.id for r in held.select("id").collect()) == [f"c{i}" for i in range(6)]
+    hits = collection.search(held, "words", 3)
+    assert [r.rank for r in collection.displayed(hits).collect()] == [1, 2, 3] and collection.displayed_briefly(hits, 20).first().preview.endswith("...")
+    collection.write(held.filter("id = 'c0'"), str(tmp_path / "db2"), "m")
+
+
+def test_chunk_files(spark, tmp_path):
+    rows = spark.createDataFrame([("c", "a.go", "file", "go", "n", None, 1, 2, "t", "s", ["k"], [], 0.5, None)], collection.CHUNK)
+    collection.write_chunks(rows, str(tmp_path / "o"), "src")
+    assert collection.read_chunks(spark, str(tmp_path / "o")).collect() == rows.collect()
+    summary = spark.read.json(str(tmp_path / "o" / "summary")).first()
+    assert summary.total_chunks == 1 and summary.chunk_types.file == 1 and summary.generated_at > 1e9
+    whole = {"chunks": [{"id": "c", "text": "t", "metadata": {"chunk_type": "file", "keywords": ["k"], "line_end": 2}}]}
+    (tmp_path / "w.json").write_text(json.dumps(whole, indent=1))
+    got = collection.read_chunks(spark, str(tmp_path / "w.json"), documents=True).first()
+    assert (got.id, got.chunk_type, got.keywords, got.line_end, got.name) == ("c", "file", ["k"], 2, None)
