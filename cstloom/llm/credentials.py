@@ -1,7 +1,8 @@
 """Credentials in source code, found and masked by a conditional random field (problem 7).
 
-Lines that hold a literal with both letters and digits, an authorization scheme
-or a private key's BEGIN mark are cut into lexical tokens; a linear-chain
+Lines that hold a literal with both letters and digits, a name or word that tells
+of a credential before a literal, an authorization scheme or a private key's BEGIN
+mark are cut into lexical tokens; a linear-chain
 conditional random field with shape and context features labels each token as
 outside, begin of a credential, between its pieces, or a further piece, and the
 Viterbi spans are what is masked.  The field is trained on lines that a seeded
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 from cstloom.llm.crf import Crf, hashed
 from cstloom.operators import nested
 
-TRAINING_LINES = 9_000
+TRAINING_LINES = 12_000
 MASK = "x"
 OUT, BEGIN, BETWEEN, PIECE = range(4)
 
@@ -39,6 +40,7 @@ _TOKEN = re.compile(r"-----BEGIN [A-Z ]+-----|-----END [A-Z ]+-----|\$\{[^}\s]*\
 _DIGIT_LINE = re.compile(r"(?m)^[^\n\d]*\d[^\n]*")
 _RUN = re.compile(r"[\w+/=.$#*?!~%^&-]{6,}")
 _SCHEME = re.compile(r"(?:Bearer|Basic) +[\w+/]|BEGIN [A-Z ]*PRIVATE KEY|//[^\s/:@\"']+:[^\s/:@\"'{}]+@")
+_NAMED = re.compile(r"""(?:[Pp](?:ass|ASS|wd|WD)|PASS|PWD|[Ss]ecret|SECRET|[Tt]oken|TOKEN|[Cc]red|CRED|[Kk]ey|KEY|[Kk]ennwort|[Cc]ontrase|[Ll]ogin|LOGIN|[Ss]ign_?[Ii]n|[Aa]uth|AUTH|(?<![A-Za-z])(?:pw|PW|pin|PIN)(?![a-z]))[^\n]*["'`=:/]""")
 #: Words of a comment that announce a credential.
 _TOLD = {"login", "user", "credentials", "account", "pw", "password", "pass", "passwd", "pwd", "token", "secret", "key", "passphrase"}
 #: Parts of names that stand for credentials, names with key that do, and parts that speak against one.
@@ -88,7 +90,7 @@ def _bucket(n: int) -> str:
 _SHAPES = [
     ("begin_private", re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----")), ("begin_other", re.compile(r"-----BEGIN ")), ("end", re.compile(r"-----END ")), ("reference", re.compile(r"\$\{")), ("escape", re.compile(r"\\.$")),
     ("jwt", re.compile(r"eyJ[\w-]{8,}\.[\w-]{8,}\.?")), ("uuid", re.compile(r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$")), ("sri", re.compile(r"sha\d{3}-[\w+/=]{20,}")),
-    ("number", re.compile(r"[\d.,_]+%?$|0x[0-9a-fA-F]+$")), ("hex", re.compile(r"(?=[a-f]*\d)(?=\d*[a-f])[0-9a-f]{8,}$")), ("word", re.compile(r"[a-z]+$")), ("Word", re.compile(r"[A-Z][a-z]+$")), ("CAPS", re.compile(r"[A-Z]+(?:_[A-Z]+)*$")),
+    ("digits", re.compile(r"\d{6,12}$")), ("words", re.compile(r"(?:[A-Z][a-z]{2,}[-_.+]?){3,}$")), ("number", re.compile(r"[\d.,_]+%?$|0x[0-9a-fA-F]+$")), ("hex", re.compile(r"(?=[a-f]*\d)(?=\d*[a-f])[0-9a-f]{8,}$")), ("word", re.compile(r"[a-z]+$")), ("Word", re.compile(r"[A-Z][a-z]+$")), ("CAPS", re.compile(r"[A-Z]+(?:_[A-Z]+)*$")),
     ("name", re.compile(r"[a-z]+(?:[_.][a-z_.]+)+$|[a-z]+(?:[A-Z][a-z]+)+$|(?:[A-Z][a-z]+){2,}$")), ("path", re.compile(r"[a-z]+(?:[/.:-][a-z]+)+(?:-\d{1,4})?(?:\.\w{1,4})?$|[a-z]+-\d{1,4}$|[a-z]+\d{0,2}$")),
     ("stars", re.compile(r"[*x.#]{3,}$")), ("capsdigits", re.compile(r"(?=[A-Z]*\d)[A-Z][A-Z0-9]{13,}$")), ("prefixed", re.compile(r"[a-z]{2,6}(?:[_.-][a-z]{1,5})?[_.-](?=[\w-]*\d)(?=[\w-]*[A-Z])[\w-]{10,}$")),
     ("dotted", re.compile(r"[A-Za-z_]\w*(?:\.[A-Za-z_]\w*)+$")), ("base64", re.compile(r"(?=\S*[A-Z])(?=\S*[a-z])[A-Za-z0-9+/]{12,}={1,2}$")), ("phrase", re.compile(r"[A-Za-z]*[A-Z]?[a-z]{3,}(?:[-_.#+!][A-Za-z]+)*[-_.#+!]?\d{1,5}[?!*+#$%]?$")), ("mingled", re.compile(r"[a-z]{2,5}\d{1,3}[A-Z][a-z]+\$?\w{0,6}$")),
@@ -100,8 +102,8 @@ _SHAPES = [
 def shape(token: str) -> str:
     if len(token) == 1:
         return token if not token.isalnum() else "1"
-    if len(token) > 400:
-        return "mixed" if not token.isalpha() else "word"
+    if len(token) > 400:  # only a signed token may be so long; all else is data, whatever its letters
+        return "jwt" if dict(_SHAPES)["jwt"].match(token) else "mixed" if not token.isalpha() else "word"
     for name, rule in _SHAPES:
         if rule.match(token):
             return name
@@ -195,7 +197,7 @@ class _Writer:
         """A password made of words, as people choose them."""
         w, r = self.word().title(), self.r
         return self.pick([
-            f"{w}{self.pick(['-', '_', '.', '#', '!', ''])}{self.word()}{r.randint(1, 9999)}", f"{w}{r.randint(100, 9999)}{self.pick('?!*+#$%')}", f"{w}-{self.word()}-{self.word()}-{r.randint(1, 99)}", f"{w}_{self.word()}{r.randint(10, 9999)}",
+            f"{w}{self.pick(['-', '_', '.', '#', '!', ''])}{self.word()}{r.randint(1, 9999)}", f"{w}{r.randint(100, 9999)}{self.pick('?!*+#$%')}", f"{w}-{self.word()}-{self.word()}-{r.randint(1, 99)}", f"{w}_{self.word()}{r.randint(10, 9999)}", f"{w}.{self.word()}{r.randint(10, 9999)}",
             f"{w[:3].lower()}{r.randint(10, 99)}{self.word().title()}${self.chars(_ALNUM, 3)}", f"{w}{self.word()}{r.randint(10, 9999)}", f"{w}{self.chars('0123456789', 4)}{self.pick('?!*+')}", f"{self.word()}{self.pick('#!$')}{r.randint(10, 9999)}",
         ])
 
@@ -235,7 +237,10 @@ class _Writer:
     def positive(self) -> str:
         r = self.r
         name = self.style(self.pick(_SECRET_NAMES))
-        kind = r.randrange(12)
+        kind = r.randrange(13)
+        if kind == 12:  # letters only, or digits only
+            words = self.pick(["", "-", "_", "."]).join(self.pick(_ENGLISH).title() for _ in range(r.randint(3, 4)))
+            return self.assign(name, f"\1{self.pick([words, words, self.chars('0123456789', r.randint(6, 10))])}\2", True)
         if kind < 3:
             return self.assign(name, f"\1{self.phrase()}\2")
         if kind < 5:
@@ -265,7 +270,7 @@ class _Writer:
 
     def negative(self) -> str:
         r, c = self.r, self.chars
-        name, kind = self.ident(), r.randrange(17)
+        name, kind = self.ident(), min(r.randrange(19), 17)
         benign = f"{self.word()}_{self.pick(['checksum', 'sha', 'hash', 'digest', 'id', 'uuid', 'etag', 'md5', 'integrity'])}"
         hexed = c("0123456789abcdef", self.pick([32, 40, 64]))
         if kind == 0:
@@ -299,6 +304,23 @@ class _Writer:
             return f"    {self.ident()} = {self.ident()}({self.ident()}({self.ident()}.{self.ident()} + {r.randint(1, 9999)}, {r.randint(1, 99)}), {self.ident()})"
         if kind == 14:
             return self.pick([f' * Turns {self.word()} names into {self.word()} keys, for example "{self.word()}-{r.randint(1, 999)}".', f"// same limit as the {self.word()} ({r.randint(1, 999)})", f"# {self.word()} {r.randint(1, 9)}.{r.randint(1, 9)}.{r.randint(1, 9)} - Apache-2.0 licensed", f"// part of {self.word()}, version {r.randint(1, 9)}.{r.randint(1, 9)}", f"{self.pick(['//', '#', ' *', '/*!'])} @license {self.word()} {r.randint(1, 9)}.{r.randint(1, 9)}.{r.randint(1, 9)} {self.pick(['MIT', 'Apache-2.0', 'BSD-3-Clause', 'ISC', 'GPL-3.0', 'MPL-2.0'])}", f"{self.pick(['//', '#', ' *', '/*!'])} {self.word().title()} ({self.pick(['Apache-2.0', 'BSD-3-Clause'])}), release {r.randint(1, 9)}.{r.randint(1, 9)}.0, copied from upstream", f"{self.pick(['//', '#'])} SPDX-License-Identifier: {self.pick(['Apache-2.0', 'BSD-3-Clause', 'GPL-3.0'])}", f"{self.pick(['//', '#', '/*'])} Generated from {self.word()}.schema, source hash {c('0123456789abcdef', self.pick([8, 12, 40]))}", f"{self.pick(['//', '#'])} see commit {c('0123456789abcdef', self.pick([7, 8, 12, 40]))}", "// the password comes from the vault", f"# rotate the token every {r.randint(10, 90)} days"])
+        if kind == 17:  # names of secrets in the place of secrets, and the forms of secrets under other names
+            words = self.pick(["", "-", "_"]).join(self.pick(_ENGLISH).title() for _ in range(r.randint(3, 4)))
+            named = self.style(self.pick([*_SECRET_NAMES, *[f"{self.word()}_{x}" for x in ("token", "token", "key", "secret", "password")]]))
+            lead = " " * r.choice((0, 2, 4, 8)) + self.pick(["", "", "const ", "var ", "auto ", "let "])
+            of, end = self.pick([" = ", " = ", " := ", ": ", " == "]), self.pick(["", ";"])
+            if r.random() < 0.15:  # descriptions
+                return f"{self.pick(['//', '#', ' *', '///'])} {named}: {self.word().title()} {' '.join(self.word() for _ in range(r.randint(2, 6)))}{self.pick(['', f' {r.randint(1, 999)} times', ' by hand'])}."
+            if r.random() < 0.6:  # expressions
+                return f"{lead}{named}{of}" + self.pick([
+                    f"{self.ident()}.{self.ident()}({self.ident()})", f"{self.ident()}.{self.ident()} {self.pick('+-*')} {r.randint(1, 999)}", f"{self.ident()}({self.ident()}.{self.ident()} - {r.randint(1, 999)}, {r.randint(1, 99)})", f"{self.ident()}.{self.ident()}", f"{self.ident()}({self.ident()})", self.ident(), f"{self.ident()}.{self.ident()}({self.ident()}.{self.ident()})",
+                    f"{self.ident()}[{self.ident()}]", f"{self.ident()} * {r.randint(1, 9999)}", f"{self.ident()}({self.ident()}({self.ident()}.{self.ident()} + {r.randint(1, 9999)}, {r.randint(1, 99)}), {self.ident()})",
+                ]) + end
+            return self.pick([
+                self.assign(named, self.pick([f"{self.word()}{self.word().title()}", f"{self.word()}_{self.word()}", self.style(self.pick(_SECRET_NAMES))]), r.random() < 0.5), self.assign(name, self.pick([words, self.chars("0123456789", r.randint(6, 10))]), True),
+                self.assign(self.style(f"{self.pick(['token', 'key', 'password'])}_{self.word()}"), words, True), f"    {named} = {self.ident()}({self.ident()}, {r.randint(0, 9)})", f"{self.pick(['//', '#', ' *'])} the {self.pick(['token', 'key', 'password', 'login'])} of the {self.word()}: see {self.word()}",
+                f"    {self.pick(['return', 'if', 'await'])} {self.ident()}({named}): {self.word()}", f'    {self.ident()}["{named}"] = {self.ident()}', f"func {self.style('get_' + self.word())}({named}: {self.word().title()}) -> {self.word().title()} {{",
+            ])
         if kind == 15:
             return f"function {self.pick('abcdef')}(s,x){{var e=s.{self.word()},n=0;for(;n<x;n++)e[s]^={r.randint(1, 99)};return e?x:b(s-1,x)}}var e=function(r){{return r&&r.length>{r.randint(1, 99)}?r.slice({r.randint(1, 9)}):\"{self.word()}\"}};"
         if r.random() < 0.5:
@@ -357,15 +379,16 @@ def candidate_lines(text: str) -> list[tuple[int, int]]:
             if not w.isalpha() and not w.isdigit() and any(c.isdigit() for c in w) and any(c.isalpha() for c in w):
                 out.add(m.span())
                 break
-    for m in _SCHEME.finditer(text):
-        end = text.find("\n", m.end())
-        out.add((text.rfind("\n", 0, m.start()) + 1, len(text) if end < 0 else end))
+    for rule in (_SCHEME, _NAMED):
+        for m in rule.finditer(text):
+            end = text.find("\n", m.end())
+            out.add((text.rfind("\n", 0, m.start()) + 1, len(text) if end < 0 else end))
     return sorted(out)
 
 
 _END = re.compile(r"-----END [A-Z ]*PRIVATE KEY-----")
-#: Lines longer than this are read in overlapping windows, so that the tables of the field stay small.
-WINDOW, OVERLAP = 4_000, 800
+#: Longer lines are decoded in overlapping windows of so many tokens, so that the tables of the field stay small; their features come from the whole line.
+WINDOW, OVERLAP = 800, 160
 
 
 def find_all(texts: list[str | None], field: Crf) -> list[list[list[tuple[int, int]]]]:
@@ -373,12 +396,12 @@ def find_all(texts: list[str | None], field: Crf) -> list[list[list[tuple[int, i
     jobs, features, spans = [], [], []
     for k, text in enumerate(texts):
         for a, b in candidate_lines(text or ""):
-            for at in range(a, max(a + 1, b - OVERLAP), WINDOW - OVERLAP):
-                s, f = featured(text[at : min(b, at + WINDOW)].rstrip("\r"))
+            s, f = featured(text[a:b].rstrip("\r"))
+            for at in range(0, max(1, len(f) - OVERLAP), WINDOW - OVERLAP):
                 if f:
-                    jobs.append((k, at))
-                    spans.append(s)
-                    features.append(f)
+                    jobs.append((k, a))
+                    spans.append(s[at : at + WINDOW])
+                    features.append(f[at : at + WINDOW])
     out: list[list[list[tuple[int, int]]]] = [[] for _ in texts]
     for (k, at), s, labels in zip(jobs, spans, field.decode(features)):
         now = None
@@ -466,15 +489,23 @@ def _full(parts: tuple) -> Crf:
 
 
 def source_of(nodes: list[dict]) -> bytearray:
-    """The bytes of a file as far as the texts of its nodes tell them; a gap of one is a space, others are line ends."""
+    """The bytes of a file as far as the texts of its nodes tell them; a gap of one is a space, others are line ends.
+
+    A text that was cut tells the bytes before its dots where no other node does.
+    """
     size = max((n["end_byte"] for n in nodes if isinstance(n.get("end_byte"), int)), default=0)
-    out, known = bytearray(b"\n" * size), bytearray(size)
+    out, known, cut = bytearray(b"\n" * size), bytearray(size), []
     for n in nodes:
         text, a, b = n.get("text"), n.get("start_byte"), n.get("end_byte")
-        if isinstance(text, str) and isinstance(a, int) and isinstance(b, int):
+        if isinstance(text, str) and isinstance(a, int) and isinstance(b, int) and a >= 0:
             raw = text.encode("utf-8", "surrogatepass")
-            if len(raw) == b - a and a >= 0:
+            if len(raw) == b - a:
                 out[a:b], known[a:b] = raw, b"\1" * len(raw)
+            elif len(raw) < b - a and text.endswith("..."):
+                cut.append((a, raw[:-3]))
+    for a, raw in cut:
+        for m in re.finditer(rb"\x00+", bytes(known[a : a + len(raw)])):
+            out[a + m.start() : a + m.end()], known[a + m.start() : a + m.end()] = raw[m.start() : m.end()], b"\1" * (m.end() - m.start())
     for m in re.finditer(rb"(?<=\x01)\x00(?=\x01)", bytes(known)):
         out[m.start()] = 32
     return out
@@ -518,7 +549,7 @@ def in_trees(records: DataFrame) -> DataFrame:
 
 
 def masked_nodes(records: DataFrame) -> DataFrame:
-    """(file_id, pre, text): the texts of all nodes of the valid records that hold a credential, masked."""
+    """(file_id, pre, text): the texts of all nodes of the valid records that hold a credential or a part of one, masked; cut texts stay cut."""
     field = records.sparkSession.sparkContext.broadcast(_compact(model()))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -535,10 +566,16 @@ def masked_nodes(records: DataFrame) -> DataFrame:
                 if not found:
                     continue
                 clean = mask(text, found).encode("latin-1")
+                hidden = np.flatnonzero(np.frombuffer(clean, np.uint8) != np.frombuffer(text.encode("latin-1"), np.uint8))
                 for pre, n in enumerate(nodes):
                     a, b = n.get("start_byte"), n.get("end_byte")
-                    if isinstance(n.get("text"), str) and isinstance(a, int) and isinstance(b, int) and any(s < b and a < e for c in found for s, e in c) and len(n["text"].encode()) == b - a:
-                        rows.append((file_id, pre, clean[a:b].decode("utf-8", "replace")))
+                    if isinstance(n.get("text"), str) and isinstance(a, int) and isinstance(b, int):
+                        raw = bytearray(n["text"].encode("utf-8", "surrogatepass"))
+                        within = hidden[(hidden >= a) & (hidden < min(b, a + len(raw) - 3 * (len(raw) != b - a)))]
+                        if len(within):
+                            for at in within.tolist():
+                                raw[at - a] = clean[at]
+                            rows.append((file_id, pre, raw.decode("utf-8", "replace")))
             yield pd.DataFrame(rows, columns=["file_id", "pre", "text"])
 
     return nested.valid_records(records).mapInPandas(run, "file_id bigint, pre bigint, text string")

@@ -60,3 +60,32 @@ def test_credentials_across_the_edge_of_a_window(field):
         text = head + secret + '"; ' + "z = y; " * 300
         found = cr.find_all([text], field)[0]
         assert len(found) == 1 and cr.mask(text, found) == text.replace(secret, "x" * len(secret)), shift
+
+
+def test_names_open_lines_without_mixed_literals(field):
+    for line, secret in (('db_password = "Correct-Horse-Battery"', "Correct-Horse-Battery"), ('client_secret: "VelvetHarborLantern"', "VelvetHarborLantern"), ('admin_pass = "83719402"', "83719402")):
+        assert cr.candidate_lines("x\n" + line + "\ny") == [(2, 2 + len(line))]
+        assert [[line[a:b] for a, b in c] for c in cr.find_all([line], field)[0]] == [[secret]], line
+    for line in ('password = "password"', "token = sessionToken", 'token_name = "sessionToken"', "// the key of the map: see index", 'pageTitle = "Velvet-Harbor-Lantern"', 'order_number = "83719402"'):
+        assert cr.find_all([line], field) == [[]], line
+
+
+def test_long_lines_keep_their_context(field):
+    secret = "Flomber-dasket-71"
+    text = 'db_password = f("' + "a b " * 900 + '", 1, 2); ' + "q = w; " * 900 + f'db_password = "{secret}"; ' + "z = y; " * 900
+    assert cr.mask(text, cr.find_all([text], field)[0]) == text.replace(secret, "x" * len(secret))
+    long = "key_data = '" + "ab_" * 60_000 + "'"
+    assert cr.find_all([long], field) == [[]]
+
+
+def test_cut_nodes_are_masked_too(spark):
+    line = 'db_password = "Flomber-dasket-71"\n'
+    source = line + "x = 1\n" * 400
+    cut = {"type": "module", "text": source[:997] + "...", "start_byte": 0, "end_byte": len(source)}
+    leaf = {"type": "string", "text": line[14:33], "start_byte": 14, "end_byte": 33}
+    surrogate = {"type": "x", "text": "\ud800", "start_byte": 40, "end_byte": 43}
+    for children in ([leaf, surrogate], []):
+        records = spark.createDataFrame([(1, json.dumps({"cst": {**cut, "children": children}}))], "file_id bigint, cst_json string").selectExpr("*", "cast(null as timestamp) as written_at")
+        got = {r.pre: r.text for r in cr.masked_nodes(records).collect()}
+        assert got[0] == cut["text"].replace("Flomber-dasket-71", "x" * 17) and len(got) == 1 + (len(children) > 0)
+        assert [r.place_no for r in cr.in_trees(records).collect()] == [1 if children else 0]
