@@ -3,7 +3,9 @@
 1. Equal vectors become one entry that keeps its k+1 smallest ids, so a vector
    that fills a third of the table costs as much as any other.
 2. A routing tree of vantage points, fitted on a bounded sample, cuts the space
-   into shards of about ``SHARD_ROWS`` entries; every entry is indexed.
+   into regions of about ``SHARD_ROWS`` entries; every entry is indexed.  A region
+   is a shard; one that holds far more is cut into several by a hash, so that no
+   task holds more, however large the table and however dense a place in it.
 3. A shard builds its own vantage-point tree and answers its own entries.
 4. An entry then visits each other shard whose region the triangle inequality
    cannot rule out, and the answers are merged.
@@ -28,8 +30,10 @@ from pyspark.sql.window import Window
 
 from cstloom.session import reliable
 
-#: Entries of a shard and of a leaf of its tree, sampled entries for each shard, most shards.
+#: Entries of a shard and of a leaf of its tree, sampled entries for each shard, and most regions of the routing tree, whose sample is thereby bounded.
 SHARD_ROWS, LEAF_ROWS, SAMPLE_EACH, MOST_SHARDS = 8_000, 128, 64, 1_024
+#: Regions with more than so many times SHARD_ROWS entries are cut into shards of about SHARD_ROWS.
+CROWDED = 4
 #: How much the triangle inequality is relaxed.
 RELAX = 3.0
 
@@ -171,7 +175,7 @@ def nearest(vectors: DataFrame, k: int = 5, dim: int = 64, relax: float = RELAX,
     n_shards = 1
     while n_shards < MOST_SHARDS and rows > n_shards * SHARD_ROWS:
         n_shards *= 2
-    router = None
+    router, parts = None, [1] * n_shards
     if n_shards > 1:
         fit = keyed.select("v", "h1").distinct().orderBy("h1").limit(SAMPLE_EACH * n_shards).collect()
         if len(fit) > 3:
@@ -192,9 +196,11 @@ def nearest(vectors: DataFrame, k: int = 5, dim: int = 64, relax: float = RELAX,
         if router is None:
             visits = [[] for _ in near]
         else:
+            me = int(pdf["shard"].iloc[0])
             open_ = router.lower_bounds(x) * relax <= reach[:, None]
-            open_[:, int(pdf["shard"].iloc[0])] = False
-            visits = [np.flatnonzero(o) for o in open_]
+            open_[:, me % n_shards] = True  # the other shards of its own region
+            all_shards = [np.array([s + n_shards * p for p in range(parts[s]) if s + n_shards * p != me], np.int64) for s in range(n_shards)]
+            visits = [np.concatenate([all_shards[s] for s in np.flatnonzero(o)]) for o in open_]
         return pd.DataFrame({"h1": pdf["h1"], "h2": pdf["h2"], "v": pdf["v"], "near": near, "reach": reach, "visits": visits})
 
     def abroad(queries: pd.DataFrame, data: pd.DataFrame) -> pd.DataFrame:
@@ -210,6 +216,11 @@ def nearest(vectors: DataFrame, k: int = 5, dim: int = 64, relax: float = RELAX,
         answers = sharded.groupBy("shard").applyInPandas(at_home, f"h1 bigint, h2 bigint, v array<float>, near {_NEAR}, reach double, visits array<bigint>").select("h1", "h2", "near")
     else:
         sharded = reliable(sharded)
+        for r in sharded.groupBy("shard").count().collect():  # one row a region
+            parts[r["shard"]] = -(-r["count"] // SHARD_ROWS) if r["count"] > CROWDED * SHARD_ROWS else 1
+        if max(parts) > 1:
+            cuts = F.element_at(F.array(*[F.lit(p) for p in parts]), F.col("shard").cast("int") + 1)
+            sharded = sharded.withColumn("shard", F.col("shard") + n_shards * F.pmod("h2", cuts))
         home = reliable(sharded.groupBy("shard").applyInPandas(at_home, f"h1 bigint, h2 bigint, v array<float>, near {_NEAR}, reach double, visits array<bigint>"))
         queries = home.select("h1", "h2", "v", "reach", F.explode("visits").alias("shard"))
         away = queries.groupBy("shard").cogroup(sharded.select("shard", "v", "ids").groupBy("shard")).applyInPandas(abroad, f"h1 bigint, h2 bigint, near {_NEAR}")

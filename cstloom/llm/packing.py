@@ -4,7 +4,10 @@ Items are spread over shards of bounded size by a hash of their key.  A shard
 places one item after another where the sum of the squared counts of open
 containers per residual gap becomes smallest.  Containers that a shard leaves
 with much room are emptied and their items packed again, together with those of
-the neighbouring shards, so that sharding costs next to nothing.
+other shards, in groups of bounded size and in rounds: each round mixes the
+containers that are still open anew, until they fit one group or a round saves
+next to none.  So sharding costs next to nothing, and no task holds more than a
+bounded number of items.
 
 Defined results: items of null, zero or negative size are left out; an item
 larger than the capacity fills whole containers and only its rest is packed;
@@ -20,10 +23,12 @@ from pyspark.sql import functions as F
 
 from cstloom.session import reliable
 
-#: Items a shard packs on average, and shards whose leftovers are packed together.
-SHARD_ITEMS, TOGETHER = 20_000, 32
-#: Containers filled less than this are packed again.
-WELL_FILLED = 0.97
+#: Items a shard packs on average, and items that a group packs again on average.
+SHARD_ITEMS, GROUP_ITEMS = 20_000, 20_000
+#: Containers filled less than this are packed again; a further round has to save this share of them.
+WELL_FILLED, SAVES = 0.97, 0.02
+#: Rounds at most, which the numbers of containers have room for.
+ROUNDS = 12
 
 
 def sum_of_squares(sizes: np.ndarray, capacity: int) -> np.ndarray:
@@ -95,17 +100,36 @@ def pack(items: DataFrame, windows: list[tuple[str, int]], key: str = "doc_id",
             out += [x.assign(window_name=name) for x in (full, rest)]
         return pd.concat(out)[["window_name", "key", "container", "first_token", "length", "fill"]]
 
-    def again(keys: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        name, group = keys
-        pdf = pdf.sort_values(["length", "key", "first_token"], ascending=[False, True, True], kind="stable")
-        box = sum_of_squares(pdf["length"].to_numpy(), capacity_of[name])
-        return pdf.assign(container=((int(group) + 1) << 48) + box)[["window_name", "key", "container", "first_token", "length", "fill"]]
+    def again(round_: int):
+        def run(keys: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+            name, group = keys
+            pdf = pdf.sort_values(["length", "key", "first_token"], ascending=[False, True, True], kind="stable")
+            length = pdf["length"].to_numpy()
+            box = sum_of_squares(length, capacity_of[name])
+            fill = np.bincount(box, length) / capacity_of[name]
+            return pdf.assign(container=(round_ << 58) + (int(group) << 32) + box, fill=fill[box])[["window_name", "key", "container", "first_token", "length", "fill"]]
+
+        return run
 
     schema = _OUT.format(kind=kind)
     placed = todo.groupBy("shard").applyInPandas(first, schema)
     if shards > 1:
-        placed = reliable(placed)  # read twice below
-        open_ = placed.filter(F.col("fill") < WELL_FILLED)
-        group = F.floor(F.shiftright("container", 32) / TOGETHER)
-        placed = placed.filter(F.col("fill") >= WELL_FILLED).unionByName(open_.groupBy("window_name", group.alias("g")).applyInPandas(again, schema))
+        placed = reliable(placed)  # read again below
+        done, open_, before = placed.filter(F.col("fill") >= WELL_FILLED), placed.filter(F.col("fill") < WELL_FILLED), None
+        for round_ in range(1, ROUNDS + 1):
+            count = {r.window_name: r for r in open_.groupBy("window_name").agg(F.count("*").alias("items"), F.countDistinct("container").alias("containers")).collect()}  # one row a window
+            groups = {name: -(-r["items"] // GROUP_ITEMS) for name, r in count.items()}
+            containers = sum(r["containers"] for r in count.values())
+            if not count or before is not None and containers > (1 - SAVES) * before:
+                break
+            cuts = F.lit(1)
+            for name, n in groups.items():
+                cuts = F.when(F.col("window_name") == name, n).otherwise(cuts)
+            mixed = open_.withColumn("g", F.pmod(F.xxhash64("container", F.lit(round_)), cuts).cast("bigint"))
+            packed = reliable(mixed.groupBy("window_name", "g").applyInPandas(again(round_), schema))
+            if max(groups.values()) == 1:
+                open_ = packed
+                break
+            done, open_, before = done.unionByName(packed.filter(F.col("fill") >= WELL_FILLED)), packed.filter(F.col("fill") < WELL_FILLED), containers
+        placed = done.unionByName(open_)
     return placed.select("window_name", F.col("key").alias(key), "container", "first_token", "length")

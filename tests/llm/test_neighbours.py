@@ -41,3 +41,15 @@ def test_few_rows(spark):
     df = spark.createDataFrame([(1, [1.0] * 64), (2, [2.0] * 64), (None, [2.0] * 64)], "vec_id bigint, embedding array<float>")
     assert {(r.vec_id, r.neighbour) for r in neighbours.nearest(df).collect()} == {(1, 2), (2, 1)}
     assert neighbours.nearest(df.limit(0)).count() == 0
+
+
+def test_crowded_regions_are_cut(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    rows = [(i, (rng.normal(size=64) if i % 10 == 0 else 0.01 * rng.normal(size=64) + 1).astype(np.float32).tolist()) for i in range(400)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")
+    for name, value in (("SHARD_ROWS", 40), ("LEAF_ROWS", 16), ("MOST_SHARDS", 2), ("CROWDED", 1)):
+        monkeypatch.setattr(neighbours, name, value)
+    got = {}
+    for r in neighbours.nearest(df, relax=1.0).collect():
+        got.setdefault(r.vec_id, {})[r["rank"]] = r.neighbour
+    assert {i: [n[k] for k in sorted(n)] for i, n in got.items()} == brute(rows)

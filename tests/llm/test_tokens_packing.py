@@ -38,8 +38,9 @@ def test_packing(spark, monkeypatch):
     sizes = {i: int(x) for i, x in enumerate(rng.integers(1, 120, 900))} | {2000: 0, 2001: None, 2002: -3, 2003: 1000, 2004: 200, 2005: 100}
     df = spark.createDataFrame([(d, s, 1) for d, s in sizes.items()], "doc_id bigint, n_tokens bigint, container int")
     least = -(-sum(s for s in sizes.values() if s and s > 0) // 100)
-    for shard in (20_000, 100):
+    for shard, group in ((20_000, 20_000), (100, 20_000), (100, 60)):
         monkeypatch.setattr(packing, "SHARD_ITEMS", shard)
+        monkeypatch.setattr(packing, "GROUP_ITEMS", group)
         rows = packing.pack(df, [("w", 100), ("none", 0)]).collect()
         assert check(rows, sizes, 100) <= 1.1 * least
     assert packing.pack(df.limit(0), [("w", 100)]).count() == 0
