@@ -38,21 +38,23 @@ from cstloom.session import reliable
 LEAST = (7, 10)
 #: Classes whose words are counted for the order, and the most words that get a frequency.
 SAMPLE, COUNTED = 100_000, 200_000
-#: Signatures, their chunks and the errors enumerated in a chunk: multi-index keys that the join no longer needs, as they guarantee no pair of the words asked.
-SYMBOLS, BITS, WIDE, ERRORS = 32, 24, 4, 2
+#: Signatures of SYMBOLS minimum hashes of BITS bits, cut into chunks of WIDE symbols of which ERRORS may differ; pairs that differ in at most MOST_ERRORS symbols share a key.
+SYMBOLS, BITS, WIDE, ERRORS = 48, 24, 4, 1
 CHUNKS = SYMBOLS // WIDE
 MOST_ERRORS = CHUNKS * (ERRORS + 1) - 1
 _SUBSETS = list(combinations(range(WIDE), WIDE - ERRORS))
+_MUL = np.random.default_rng(23).integers(1, 2**63, SYMBOLS, dtype=np.uint64) | np.uint64(1)
 
 
 def _keys(signatures: np.ndarray, kind: int) -> np.ndarray:
-    """(records, keys): the chunks with ERRORS symbols left out."""
+    """(records, keys): the chunks with ERRORS symbols left out, hashed to 64 bits."""
     out = []
     for c in range(CHUNKS):
         for s, subset in enumerate(_SUBSETS):
             key = np.full(len(signatures), (kind * CHUNKS + c) * len(_SUBSETS) + s, np.uint64)
             for i in subset:
-                key = key * np.uint64(1 << BITS) + signatures[:, c * WIDE + i]
+                key = (key ^ signatures[:, c * WIDE + i]) * np.uint64(0x9E3779B97F4A7C15)
+                key ^= key >> np.uint64(29)
             out.append(key)
     return np.stack(out, 1).astype(np.int64) if out else np.zeros((0, 0), np.int64)
 
@@ -138,6 +140,40 @@ def similar_classes(ones: DataFrame) -> DataFrame:
     return with_b.filter(_similar("wa", "wb")).select("a", "b")
 
 
+def _signed(batches):
+    for batch in batches:
+        tokens, doc, size = _tokens(batch)
+        rows = np.flatnonzero(size)
+        if not len(rows):
+            continue
+        starts = (np.cumsum(size) - size)[rows]
+        signatures = np.empty((len(rows), SYMBOLS), np.uint64)
+        for k, m in enumerate(_MUL):
+            x = tokens.view(np.uint64) * m
+            x ^= x >> np.uint64(32)
+            signatures[:, k] = np.minimum.reduceat(x * np.uint64(0xD6E8FEB86659FD93), starts) >> np.uint64(64 - BITS)
+        as_lists = lambda x, t: pa.FixedSizeListArray.from_arrays(pa.array(x.ravel(), t), x.shape[1]).cast(pa.list_(t))
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), as_lists(signatures.astype(np.int32), pa.int32()), as_lists(_keys(signatures, 0), pa.int64())], names=["id", "signature", "keys"])
+
+
+def hamming_classes(ones: DataFrame) -> DataFrame:
+    """(a, b), a < b: similar classes among the pairs whose signatures differ in at most MOST_ERRORS symbols, by the multi-index Hamming join.
+
+    Every pair up to that distance is found.  Similar pairs beyond it are not, and at
+    the very threshold those are many, as signatures only estimate what is shared.
+    Its candidates also grow with the square of the records, so ``similar_classes``
+    is what the queries use; see the README.
+    """
+    signed = reliable(ones.mapInArrow(_signed, "id bigint, signature array<int>, keys array<bigint>"))
+    left, right = (signed.select(F.col("id").alias(x), F.explode("keys").alias("key")) for x in "ab")
+    pairs = left.join(right, "key").filter("a < b").select("a", "b").distinct()
+    of = lambda x: signed.select(F.col("id").alias(x), F.col("signature").alias(f"s{x}"))
+    off = F.aggregate(F.zip_with("sa", "sb", lambda x, y: (x != y).cast("int")), F.lit(0), lambda n, x: n + x)
+    near = pairs.join(of("a"), "a").join(of("b"), "b").filter(off <= MOST_ERRORS).select("a", "b")
+    words = lambda x: ones.select(F.col("id").alias(x), F.col("words").alias(f"w{x}"))
+    return near.join(words("a"), "a").join(words("b"), "b").filter(_similar("wa", "wb")).select("a", "b")
+
+
 def class_links(records: DataFrame, key: str = "chunk_no", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """(id, class) of every record and (a, b) of similar classes."""
     members, ones = classes(records, key, text)

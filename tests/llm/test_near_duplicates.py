@@ -62,3 +62,18 @@ def test_families_of_common_words(spark):
     df = spark.createDataFrame(rows, "chunk_no bigint, text string")
     got = sorted(tuple(r) for r in nd.similar_pairs(df).collect())
     assert got == sorted(brute(rows)) and len(got) == 60 * 59 // 2
+
+
+def test_hamming_join(spark):
+    rng = random.Random(6)
+    rows = []
+    for _ in range(60):
+        base = [f"w{rng.randint(0, 900)}" for _ in range(rng.randint(25, 60))]
+        for share in (0, 0.05, 0.12, 0.25):
+            rows.append((len(rows), " ".join(f"v{rng.randint(0, 900)}" if rng.random() < share else w for w in base)))
+    _, ones = nd.classes(spark.createDataFrame(rows, "chunk_no bigint, text string"))
+    exact, got = ({tuple(r) for r in f(ones).collect()} for f in (nd.similar_classes, nd.hamming_classes))
+    kept = {r.id for r in ones.select("id").collect()}
+    assert exact == {(a, b) for a, b in brute(rows) if a in kept and b in kept}
+    assert got <= exact and len(got) >= 0.9 * len(exact)  # a third of these pairs lie just above the threshold
+    assert nd.hamming_classes(ones.limit(0)).count() == 0
