@@ -65,6 +65,29 @@ _ENHANCED = f"""concat_ws(chr(10),
 _EXTENSION = r"lower(regexp_extract(filepath, '[^/](\.[^./]+)$', 1))"
 _LANGUAGES = ", ".join(f"('{e}', '{n}')" for e, n in sorted(EXTENSION_LANGUAGES.items()))
 
+# The weights of a keyword's score.
+_SCORE = """round(least(0.1::DOUBLE * ((length(low) - length(replace(low, k, ''))) // length(k)), 1.0::DOUBLE) + least(0.05::DOUBLE * length(word), 0.5::DOUBLE)
+  + CASE WHEN known THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END + CASE WHEN regexp_matches(word, '_|^.+[A-Z]') THEN 0.3::DOUBLE ELSE 0.0::DOUBLE END
+  + CASE WHEN strpos(low, k) > 0 THEN greatest(0.0::DOUBLE, 0.2::DOUBLE - 0.2::DOUBLE * (strpos(low, k) - 1) / length(low)) ELSE 0.0::DOUBLE END, 9)"""
+
+
+def _listed(kind: int, words: str) -> str:
+    return f"SELECT doc_id, {kind} AS kind, unnest(range(1, len(l) + 1)) AS pos, unnest(l) AS word FROM (SELECT doc_id, {words} AS l FROM docs)"
+
+
+_KEYWORDS = f"""
+WITH {_TERMS.replace("@MOST", "1000")}, vocab AS (SELECT term FROM top WHERE {_ALL_VALID}),
+docs AS (SELECT doc_id, text, lower(text) AS low, list_transform({_words(_clean('text'), _TOKEN)}, lambda x: lower(x)) AS w FROM documents WHERE regexp_matches(text, '[^{_SPACE}]')),
+said AS ({_listed(1, 'w')}),
+pairs AS (SELECT a.doc_id, 5 AS kind, a.pos, a.word || '_' || b.word AS word FROM said a JOIN said b ON a.doc_id = b.doc_id AND b.pos = a.pos + 1 WHERE length(a.word) > 1 AND length(b.word) > 1 AND a.word NOT IN ({_STOP}) AND b.word NOT IN ({_STOP})),
+found AS (
+  SELECT said.* FROM said JOIN vocab ON term = word UNION ALL {_listed(2, _words('text', '^[a-z]+([A-Z][a-z]*)+$'))} UNION ALL {_listed(3, _words('text', '^[a-z]+(_[a-z]+)+$'))}
+  UNION ALL {_listed(4, f"list_transform(list_filter({_words('text', '^[A-Z]+(_[A-Z]+)*$')}, lambda x: length(x) > 2), lambda x: lower(x))")} UNION ALL SELECT * FROM pairs),
+firsts AS (SELECT doc_id, lower(word) AS k, arg_min(word, kind::BIGINT * 1000000000 + pos) AS word, min(kind::BIGINT * 1000000000 + pos) AS place FROM found WHERE length(word) > 1 AND lower(word) NOT IN ({_STOP}) AND NOT regexp_matches(word, '^[0-9]+$') GROUP BY doc_id, lower(word)),
+scored AS (SELECT doc_id, word, place, {_SCORE} AS score FROM (SELECT f.*, d.low, v.term IS NOT NULL AS known FROM firsts f JOIN docs d ON f.doc_id = d.doc_id LEFT JOIN vocab v ON v.term = f.k)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, place) AS rank FROM scored)
+SELECT doc_id, rank::INTEGER AS rank, word AS keyword, round(score, 6) AS score FROM ranked WHERE rank <= 10"""
+
 SQL = {
     "vector_topk": _top().format(more="round(1 - d, 6) AS similarity,"),
     "vector_topk_filtered": _top("WHERE e.label = 3").format(more=""),
@@ -117,4 +140,6 @@ SELECT chunk_no, CASE WHEN m = 1 THEN id2 ELSE id2 || '_' || (m - 1) END AS id F
     "language_detect": f"SELECT filepath AS path, l.language FROM (SELECT DISTINCT filepath FROM parse_results) p LEFT JOIN (VALUES {_LANGUAGES}) l(extension, language) ON {_EXTENSION} = l.extension",
     "unsupported_files": f"SELECT filepath, {_EXTENSION} AS extension FROM (SELECT DISTINCT filepath FROM parse_results) WHERE {_EXTENSION} NOT IN (SELECT extension FROM (VALUES {_LANGUAGES}) l(extension, language))",
     "graph_edge_upsert": "SELECT src, dst, type FROM (SELECT o_custkey AS src, o_orderstatus AS dst, o_orderpriority AS type, row_number() OVER (PARTITION BY o_custkey, o_orderstatus ORDER BY o_orderdate DESC, o_orderkey DESC) AS r FROM orders) WHERE r = 1",
+    "keyword_scores_top10": _KEYWORDS,
+    "embed_chunks": f"SELECT id, 384::INTEGER AS dimension, {_ENHANCED} AS document, language, chunk_type FROM (SELECT DISTINCT ON (chunk_no) * FROM chunks) WHERE id IS NOT NULL",
 }
