@@ -118,7 +118,8 @@ def vocab_containment(spark: SparkSession, d: str) -> DataFrame:
 def keyword_scores_top10(spark: SparkSession, d: str) -> DataFrame:
     docs = documents(spark, d)
     ranked = tx.with_keywords(docs.select("doc_id", "text"), "text", vocabulary.vocabulary(docs))
-    return ranked.select("doc_id", F.posexplode("keywords").alias("at", "k")).select("doc_id", (F.col("at") + 1).alias("rank"), F.col("k.keyword").alias("keyword"), F.round("k.score", 6).alias("score"))
+    # the filter that a plain posexplode brings along would repeat the whole pipeline
+    return ranked.select("doc_id", F.posexplode_outer("keywords").alias("at", "k")).filter(F.col("k").isNotNull()).select("doc_id", (F.col("at") + 1).alias("rank"), F.col("k.keyword").alias("keyword"), F.round("k.score", 6).alias("score"))
 
 
 def truncate_text(spark: SparkSession, d: str) -> DataFrame:
