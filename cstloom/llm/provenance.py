@@ -4,13 +4,18 @@ A file's text is cut into tokens once.  Shingles of five tokens with masked
 identifiers and literals, and shingles of five plain words, are clustered:
 
 1. files with the same shingles are one entry, however many they are;
-2. entries meet in the buckets of MinHash bands, each with the two entries of its
-   bucket that come first by two hashes, so that comparisons are linear in a
-   bucket's size; an entry that is unlike one of them meets others in its other
-   buckets, which each band picks from other minimum hashes;
-3. pairs whose minimum hashes agree enough are verified on the whole shingle sets
-   (Jaccard similarity of LEAST or more), and the entries that links connect are a
-   family.
+2. entries meet in the buckets of MinHash bands, first with the two entries of
+   their bucket that come first by two hashes;
+3. pairs are compared by their sketches, which bound from below how many shingles
+   only one of both sets has: pairs out of reach of a Jaccard similarity of LEAST are
+   left out, all others are verified on the whole sets, and the entries that links
+   connect are a family;
+4. then every pair of a bucket that no family connects yet is compared and verified
+   in the same way, and its links join families.
+
+So all entries that share a bucket and are similar are in one family, however many
+the bucket holds.  What remains to chance is that a similar pair shares no bucket:
+one in 9,000 pairs at LEAST, fewer above it, whatever the size of the tables.
 
 A file without a like is a family of one.  Families are judged by what all their
 files show:
@@ -42,6 +47,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
@@ -52,8 +58,6 @@ from cstloom.session import reliable
 WORDS, LEAST = 5, 0.8
 #: Minimum hashes of a set, bands, and the hashes that each band picks of them.
 HASHES, BANDS, ROWS = 36, 30, 6
-#: Share of equal minimum hashes from which a pair's whole sets are compared; of pairs at LEAST, one in two thousand has less.
-SKETCHED = 0.58
 #: Share of odd characters from which a text is binary content, which shapes say nothing about.
 BINARY = 0.05
 #: Shares beyond which a file is repetitive, mainly literals; code characters a line and share of short names of minified files.
@@ -153,8 +157,13 @@ _MUL = _RNG.integers(1, 2**63, HASHES, dtype=np.uint64) | np.uint64(1)
 _PICKS = np.stack([_RNG.choice(HASHES, ROWS, replace=False) for _ in range(BANDS)])
 
 
+def _words(size) -> np.ndarray:
+    """64-bit words of a set's sketch: about a place a shingle, so that sets far from alike show it."""
+    return np.maximum(4, 2 ** np.ceil(np.log2(np.maximum(size, 1))).astype(np.int64) // 64)
+
+
 def _bands(shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The keys of a set's bands, and 16 bits of each of its minimum hashes."""
+    """The keys of a set's bands, and its sketch: whether an even or odd number of its shingles falls on each of 64 * _words(its size) places."""
     low = np.full(HASHES, 2**64 - 1, np.uint64)
     for at in range(0, len(shingles), 4_096):
         x = shingles[at : at + 4_096].view(np.uint32).astype(np.uint64)[None] * _MUL[:, None]
@@ -165,7 +174,9 @@ def _bands(shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     for r in range(ROWS):
         key = (key ^ low[_PICKS[:, r]]) * np.uint64(0x9E3779B97F4A7C15)
         key ^= key >> np.uint64(31)
-    return key.view(np.int64), (low >> np.uint64(20)).astype(np.uint16).view(np.int16)
+    places = 64 * int(_words(len(shingles)))
+    odd = np.bincount(shingles.view(np.uint32) & np.uint32(places - 1), minlength=places) & 1
+    return key.view(np.int64), np.packbits(odd, bitorder="little").view(np.int16)
 
 
 def examine(text: str, libraries: set[str], known: dict[str, int]) -> tuple[int, int, np.ndarray, np.ndarray]:
@@ -248,6 +259,112 @@ def _alike(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([one(x, y) for x, y in zip(a, b)], dtype=bool)
 
 
+def _differences(flat: np.ndarray, at: np.ndarray, words: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Places on which the sketches of the sets i and j differ: never more than the shingles that only one of them has; the longer sketch is folded."""
+    least, out = np.minimum(words[i], words[j]), np.zeros(len(i), np.int64)
+    for w in np.unique(least):
+        own = np.flatnonzero(least == w)
+        both = np.zeros((len(own), w), np.uint64)
+        for side in (i[own], j[own]):
+            for k in range(int(words[side].max()) // int(w)):
+                wide = words[side] > k * w
+                both[wide] ^= flat[at[side[wide]][:, None] + (k * w + np.arange(w))]
+        out[own] = np.bitwise_count(both).sum(1)
+    return out
+
+
+def _in_reach(apart: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether sets of a and b shingles, apart or more of them in only one set, can have a similarity of LEAST."""
+    return np.maximum(apart, abs(a - b)) * (1 + LEAST) <= (1 - LEAST) * (a + b) + 1e-6
+
+
+def _flat(sketches: pa.ListArray) -> np.ndarray:
+    return np.ascontiguousarray(sketches.flatten().to_numpy(zero_copy_only=False)).view(np.uint64)
+
+
+def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs (kind, a, b) of rows with the sizes and sketches of both sets that are in reach of LEAST."""
+    for batch in batches:
+        a, b = (batch.column(c).to_numpy().astype(np.int64) for c in (3, 4))
+        words = _words(np.r_[a, b])
+        flat = np.r_[_flat(batch.column(5)), _flat(batch.column(6))]
+        i = np.flatnonzero(_in_reach(np.zeros(len(a), np.int64), a, b))
+        near = i[_in_reach(_differences(flat, np.cumsum(words) - words, words, i, i + len(a)), a[i], b[i])]
+        yield pa.RecordBatch.from_arrays([batch.column(c).take(pa.array(near)) for c in range(3)], names=["kind", "a", "b"])
+
+
+def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Rows sorted by kind and band, cut only between buckets."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        kind, band = (batch.column(c).to_numpy() for c in (0, 1))
+        ends = np.flatnonzero((kind[1:] != kind[:-1]) | (band[1:] != band[:-1])) + 1
+        last = int(ends[-1]) if len(ends) else 0
+        if last or held and [held[-1].column(c)[-1].as_py() for c in (0, 1)] != [kind[0], band[0]]:
+            yield pa.Table.from_batches([*held, batch.slice(0, last)])
+            held = []
+        held.append(batch.slice(last))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _crowded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(kind, band, ids) of the buckets with several entries."""
+    for rows in _whole(batches):
+        kind, band, ids = (rows.column(c).to_numpy() for c in range(3))
+        new = np.r_[True, (kind[1:] != kind[:-1]) | (band[1:] != band[:-1])]
+        size = np.diff(np.r_[np.flatnonzero(new), len(ids)])
+        many = np.flatnonzero(new)[size > 1]
+        lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(size[size > 1])].astype(np.int32)), pa.array(ids[np.repeat(size > 1, size)]))
+        yield pa.RecordBatch.from_arrays([pa.array(kind[many]), pa.array(band[many]), lists], names=["kind", "band", "ids"])
+
+
+def _apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of a bucket that no family connects yet and whose sizes and sketches are in reach of LEAST.
+
+    Entries of the bucket's largest family are only paired with the others.
+    """
+    most = lambda n: np.floor(n / LEAST + 1e-6).astype(np.int64)
+    for rows in _whole(batches):
+        kind, band, ids, family, size = (rows.column(c).to_numpy() for c in range(5))
+        bucket = np.cumsum(np.r_[False, (kind[1:] != kind[:-1]) | (band[1:] != band[:-1])])
+        order = np.lexsort((family, bucket))
+        runs = np.flatnonzero(np.r_[True, (np.diff(bucket[order]) != 0) | (np.diff(family[order]) != 0)])
+        length, of = np.diff(np.r_[runs, len(ids)]), bucket[order][runs]
+        longest = np.lexsort((length, of))
+        longest = longest[np.r_[of[longest][1:] != of[longest][:-1], True]]
+        large = family == family[order][runs[longest]][bucket]
+        order = np.lexsort((size, large, bucket))
+        order = order[np.bincount(of)[bucket[order]] > 1]
+        if not len(order):
+            continue
+        kind, ids, family, size, bucket, large = (x[order] for x in (kind, ids, family, size.astype(np.int64), bucket, large))
+        words, flat = _words(size), _flat(rows.column(5).combine_chunks().take(pa.array(order)))
+        at = np.cumsum(words) - words
+        span = most(size.max()) + 1
+        place = (2 * bucket + large) * span + size
+        one = np.flatnonzero(~large)
+        base = 2 * bucket[one] * span
+        low = np.r_[one + 1, np.searchsorted(place, base + span + np.ceil(LEAST * size[one] - 1e-6).astype(np.int64))]
+        high = np.r_[np.searchsorted(place, base + most(size[one]), "right"), np.searchsorted(place, base + span + most(size[one]), "right")]
+        one, n = np.r_[one, one], np.maximum(high - low, 0)
+        total = np.cumsum(n)
+        step = max(1, 2**20 // int(words.max()))
+        for begin in range(0, int(total[-1]), step):
+            k = np.arange(begin, min(begin + step, int(total[-1])))
+            r = np.searchsorted(total, k, "right")
+            i, j = one[r], low[r] + k - (total - n)[r]
+            other = family[i] != family[j]
+            i, j = i[other], j[other]
+            near = _in_reach(_differences(flat, at, words, i, j), size[i], size[j])
+            i, j = i[near], j[near]
+            first = ids[i] < ids[j]
+            i, j = np.where(first, i, j), np.where(first, j, i)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (kind[i], ids[i], ids[j], family[i], family[j])], names=["kind", "a", "b", "fa", "fb"])
+
+
 def families(seen: DataFrame) -> DataFrame:
     """(kind, file_id, family): the family of every file with shingles; seen holds file_id, kind, bands, sketch and shingles."""
     sets = seen.filter("kind >= 0")
@@ -255,19 +372,29 @@ def families(seen: DataFrame) -> DataFrame:
     firsts = hashed.groupBy("kind", "h1", "h2").agg(F.min("file_id").alias("entry"))
     entries = reliable(hashed.join(firsts, ["kind", "h1", "h2"]).select("kind", "file_id", "entry"))
     own = sets.join(entries.filter("file_id = entry").select("kind", "file_id"), ["kind", "file_id"], "left_semi")
-    buckets = own.select("kind", "file_id", F.posexplode("bands").alias("at", "band"))
-    two = [F.min_by("file_id", F.struct(F.xxhash64("file_id", F.lit(x)), "file_id")) for x in (1, 2)]
-    met = buckets.groupBy("kind", "at", "band").agg(F.array(*two).alias("heads"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    pairs = buckets.join(met, ["kind", "at", "band"]).select("kind", "file_id", F.explode("heads").alias("head")).filter("file_id <> head")
+    sorted_by_bucket = lambda rows: rows.repartition("kind", "band").sortWithinPartitions("kind", "band")
+    buckets = reliable(sorted_by_bucket(own.select("kind", F.explode("bands").alias("band"), "file_id")).mapInArrow(_crowded, "kind int, band bigint, ids array<bigint>"))
+
+    def alike(pairs: DataFrame) -> DataFrame:
+        compared = own.join(pairs.select("kind", F.explode(F.array("a", "b")).alias("file_id")).distinct(), ["kind", "file_id"], "left_semi")
+        of = lambda x: compared.select("kind", F.col("file_id").alias(x), F.col("shingles").alias(f"s{x}"))
+        return pairs.join(of("a"), ["kind", "a"]).join(of("b"), ["kind", "b"]).filter(_alike("sa", "sb")).drop("sa", "sb")
+
+    head = lambda x: F.array_min(F.transform("ids", lambda i: F.struct(F.xxhash64(i, F.lit(x)).alias("h"), i.alias("id"))))["id"]
+    pairs = buckets.select("kind", "ids", F.array(head(1), head(2)).alias("heads")).select("kind", "heads", F.explode("ids").alias("file_id")).select("kind", "file_id", F.explode("heads").alias("head")).filter("file_id <> head")
     pairs = pairs.select("kind", F.least("file_id", "head").alias("a"), F.greatest("file_id", "head").alias("b")).distinct()
-    sketch = lambda x: own.select("kind", F.col("file_id").alias(x), F.col("sketch").alias(f"k{x}"))
-    same = F.aggregate(F.zip_with("ka", "kb", lambda x, y: (x == y).cast("int")), F.lit(0), lambda n, x: n + x)
-    pairs = reliable(pairs.join(sketch("a"), ["kind", "a"]).join(sketch("b"), ["kind", "b"]).filter(same >= SKETCHED * HASHES).select("kind", "a", "b"))
-    compared = own.join(pairs.select("kind", F.explode(F.array("a", "b")).alias("file_id")).distinct(), ["kind", "file_id"], "left_semi")
-    of = lambda x: compared.select("kind", F.col("file_id").alias(x), F.col("shingles").alias(f"s{x}"))
-    links = pairs.join(of("a"), ["kind", "a"]).join(of("b"), ["kind", "b"]).filter(_alike("sa", "sb")).select("kind", "a", "b")
-    joined = components(links, ["kind"]).select("kind", F.col("node").alias("entry"), "component")
-    return entries.join(joined, ["kind", "entry"], "left").select("kind", "file_id", F.coalesce("component", "entry").alias("family"))
+    shown = sets.select("kind", "file_id", F.size("shingles").alias("size"), "sketch")
+    of = lambda x: shown.select("kind", F.col("file_id").alias(x), F.col("size").alias(f"n{x}"), F.col("sketch").alias(f"k{x}"))
+    pairs = reliable(pairs.join(of("a"), ["kind", "a"]).join(of("b"), ["kind", "b"]).select("kind", "a", "b", "na", "nb", "ka", "kb").mapInArrow(_near, "kind int, a bigint, b bigint"))
+    joined = components(alike(pairs), ["kind"]).select("kind", F.col("node").alias("entry"), "component")
+    rows = buckets.select("kind", "band", F.explode("ids").alias("entry")).join(shown.withColumnRenamed("file_id", "entry").join(joined, ["kind", "entry"], "left"), ["kind", "entry"])
+    rest = sorted_by_bucket(rows.select("kind", "band", "entry", F.coalesce("component", "entry").alias("family"), "size", "sketch")).mapInArrow(_apart, "kind int, a bigint, b bigint, fa bigint, fb bigint")
+    rest = reliable(rest.distinct())
+    family = entries.join(joined, ["kind", "entry"], "left").select("kind", "file_id", F.coalesce("component", "entry").alias("family"))
+    if rest.isEmpty():
+        return family
+    merged = components(alike(rest).select("kind", F.col("fa").alias("a"), F.col("fb").alias("b")), ["kind"]).select("kind", F.col("node").alias("family"), F.col("component").alias("whole"))
+    return family.join(merged, ["kind", "family"], "left").select("kind", "file_id", F.coalesce("whole", "family").alias("family"))
 
 
 def judged_files(parse_results: DataFrame, chunks: DataFrame, library_index: DataFrame, marks: bool = True) -> DataFrame:

@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 
 from cstloom.llm import provenance as pv
 from cstloom.llm.common import components
@@ -74,6 +75,59 @@ def test_links_against_brute_force(spark):
     assert sum(family[i] == family[j] for i, j in want) >= 0.97 * len(want) and len({family[i] for i in range(0, 160, 4)}) == 40
 
 
+def _changed(rng, base, share):
+    keep = base[rng.random(len(base)) > share]
+    return np.unique(np.concatenate([keep, rng.integers(0, 2**31, len(base) - len(keep)).astype(np.int32)])).astype(np.int32)
+
+
+def test_every_pair_of_a_crowded_bucket_counts(spark):
+    rng = np.random.default_rng(8)
+    sizes = [int(n) for n in rng.integers(8, 700, 30)]
+    sets = [np.unique(rng.integers(0, 2**31, n)).astype(np.int32) for n in sizes]
+    sets += [_changed(rng, b, 0.08) for b in sets for _ in range(2)] + [_changed(rng, sets[0], 0.04) for _ in range(40)]
+    # one bucket holds them all
+    seen = spark.createDataFrame([(i, 0, [5], pv._bands(s)[1].tolist(), s.tolist()) for i, s in enumerate(sets)], "file_id bigint, kind int, bands array<bigint>, sketch array<smallint>, shingles array<int>")
+    links = [(i, j) for i in range(len(sets)) for j in range(i) if len(np.intersect1d(sets[i], sets[j])) >= pv.LEAST * len(np.union1d(sets[i], sets[j]))]
+    want = {r.node: r.component for r in components(spark.createDataFrame(links, "a bigint, b bigint")).collect()}
+    family = {r.file_id: r.family for r in pv.families(seen).collect()}
+    assert len(links) > 300 and family == {i: want.get(i, i) for i in range(len(sets))}
+
+
+def test_sketches_leave_out_no_similar_pair():
+    rng = np.random.default_rng(9)
+    alike = far = 0
+    for n in (1, 5, 40, 255, 256, 257, 420, 512, 900, 3000):
+        for share in (0.02, 0.08, 0.1, 0.11, 0.4):
+            a = np.unique(rng.integers(0, 2**31, n)).astype(np.int32)
+            b = _changed(rng, a, share)[: max(1, n - int(rng.integers(0, 3)))]
+            sketches = [pv._bands(a)[1], pv._bands(b)[1]]
+            words = pv._words(np.array([len(a), len(b)]))
+            assert [len(x) for x in sketches] == [4 * w for w in words]
+            apart = pv._differences(np.concatenate(sketches).view(np.uint64), np.cumsum(words) - words, words, np.array([0]), np.array([1]))[0]
+            shared = len(np.intersect1d(a, b))
+            assert apart <= len(a) + len(b) - 2 * shared
+            rows = pa.RecordBatch.from_pydict({"kind": pa.array([0, 0], pa.int32()), "band": [3, 3], "entry": [7, 4], "family": [7, 4], "size": pa.array([len(a), len(b)], pa.int32()), "sketch": pa.array(sketches, pa.list_(pa.int16()))})
+            pairs = pa.RecordBatch.from_pydict({"kind": [0], "a": [4], "b": [7], "na": [len(a)], "nb": [len(b)], **{k: pa.array([x], pa.list_(pa.int16())) for k, x in zip(("ka", "kb"), sketches)}})
+            met = sum(r.num_rows for r in pv._apart(iter([rows.slice(0, 1), rows.slice(1)])))
+            assert met == sum(r.num_rows for r in pv._near(iter([pairs])))
+            if shared >= pv.LEAST * (len(a) + len(b) - shared):
+                alike += 1
+                assert met == 1
+            elif share == 0.4 and n > 200:
+                far += 1
+                assert met == 0
+    assert alike > 20 and far >= 6
+
+
+def test_buckets_are_whole_across_batches():
+    band = np.array([1, 1, 2, 3, 3, 3, 3, 3, 4, 5, 5], np.int64)
+    rows = pa.RecordBatch.from_pydict({"kind": pa.array([0] * 8 + [1] * 3, pa.int32()), "band": band, "id": np.arange(11)})
+    want = [(0, 1, [0, 1]), (0, 3, [3, 4, 5, 6, 7]), (1, 5, [9, 10])]
+    for size in range(1, 12):
+        got = [tuple(r.values()) for b in pv._crowded(rows.slice(at, size) for at in range(0, 11, size)) for r in b.to_pylist()]
+        assert got == want
+
+
 def test_components_of_long_paths(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101), (101, 100), (7, 7)], "a bigint, b bigint")
     got = {r.node: r.component for r in components(links).collect()}
